@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import html_text, mixing, pii, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op4_pii": pii.op4_pii,
+    "op7_html_text": html_text.op7_html_text,
     "op8_mixing": mixing.op8_mixing,
 }
 

@@ -13,3 +13,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only these columns under these names, whatever else the table holds."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in wanted.items()])
+
+
+def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` gets each Arrow batch as a dict of lists and yields dicts of lists for ``schema``."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for cols in fn(batch.to_pydict()):
+                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+
+    return df.mapInArrow(run, schema)
