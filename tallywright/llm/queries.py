@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, pii, sharding
+from . import embedding_links, html_text, mixing, pii, sharding
 
 QUERIES = {
+    "op1_embedding_links": embedding_links.op1_embedding_links,
     "op2_sharding": sharding.op2_sharding,
     "op4_pii": pii.op4_pii,
     "op7_html_text": html_text.op7_html_text,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_embedding_links": embedding_links.SQL,
     "op8_mixing": mixing.SQL,
 }
