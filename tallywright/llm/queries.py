@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_links, html_text, mixing, pii, sharding
+from . import embedding_links, html_text, mixing, pii, rollup, sharding
 
 QUERIES = {
     "op1_embedding_links": embedding_links.op1_embedding_links,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op7_html_text": html_text.op7_html_text,
     "op8_mixing": mixing.op8_mixing,
+    "op9_token_rollup": rollup.op9_token_rollup,
 }
 
 ORACLES = {
     "op1_embedding_links": embedding_links.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_token_rollup": rollup.SQL,
 }
