@@ -32,31 +32,32 @@ class GroupEnds:
         self.known = [0, total]
         #: tight[i]: no group ends between known[i] and known[i + 1]
         self.tight = [False]
-        self.refine([(0, total)])
+        #: rows are joined to gaps by cell: a gap is a part of an earlier one, so it meets one or two
+        self.cell = -(-total // points)
+        self.refine({(0, total)})
 
-    def refine(self, gaps: list[tuple[int, int]]) -> None:
-        """Learn up to two ends in each of ``points`` equal parts of each gap between known ends."""
-        gaps = [(a, b) for a, b in sorted(set(gaps)) if b - a > 1]
+    def refine(self, gaps: set[tuple[int, int]]) -> None:
+        """Learn up to two ends in each of ``points`` equal parts of these gaps between known ends."""
+        gaps = {(a, b) for a, b in gaps if b - a > 1}
         if not gaps:
             return
         per = max(2, self.points // len(gaps))
-        part = F.lit(None)
-        for g, (a, b) in reversed(list(enumerate(gaps))):
-            inside = (F.col("end") > a) & (F.col("end") < b)
-            part = F.when(inside, F.lit(g * per) + ((F.col("end") - a) * F.lit(per) / F.lit(b - a)).cast("long")).otherwise(part)
-        reach = None
-        for a, b in gaps:
-            inside = (F.col("end") > a) & (F.col("end") < b)
-            reach = inside if reach is None else reach | inside
+        rows = self.ends
+        if gaps == {(0, self.total)}:
+            rows = rows.withColumns({"a": F.lit(0).cast("long"), "b": F.lit(self.total).cast("long")})
+        else:
+            values = ", ".join(f"({c}L, {a}L, {b}L)" for a, b in sorted(gaps) for c in range(a // self.cell, b // self.cell + 1))
+            table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS gaps(cell, a, b)")
+            rows = rows.withColumn("cell", F.expr(f"end div {self.cell}L")).join(table, "cell")
+        part = F.expr(f"CAST((end - a) * {per}D / (b - a) AS LONG)")
         found = (
-            self.ends.filter(reach)
-            .groupBy(part.alias("part"))
+            rows.filter("end > a AND end < b")
+            .groupBy("a", part.alias("part"))
             .agg(F.min("end").alias("low"), F.max("end").alias("high"), F.count_distinct("end").alias("n"))
-            .orderBy("low")
             .collect()
         )
         known = dict.fromkeys(self.known)
-        loose = {self.known[i] for i in range(len(self.tight)) if not self.tight[i]} - {a for a, _ in gaps}
+        loose = {k for k, t in zip(self.known, self.tight, strict=False) if not t} - {a for a, _ in gaps}
         for r in found:
             known[r.low] = known[r.high] = None
             if r.n > 2:
@@ -79,7 +80,7 @@ class GroupEnds:
     def last(self, t: int) -> int:
         """The last end at or before t, exactly."""
         while (b := self.bounds(t))[0] != b[1]:
-            self.refine([self.gap(t)])
+            self.refine({self.gap(t)})
         return b[0]
 
     def next(self, t: int) -> int:
@@ -88,7 +89,7 @@ class GroupEnds:
             i = bisect_left(self.known, t)
             if i == 0 or self.known[i] == t or self.tight[i - 1]:
                 return self.known[i]
-            self.refine([(self.known[i - 1], self.known[i])])
+            self.refine({(self.known[i - 1], self.known[i])})
 
     def reaches(self, capacity: int, shards: int, side: int) -> bool:
         """Greedy check; side 0 takes each cut as early as it can lie, side 1 as late."""
@@ -106,19 +107,22 @@ class GroupEnds:
             low, high = (low, mid) if self.reaches(mid, shards, side) else (mid + 1, high)
         return low
 
-    def capacity(self, shards: int) -> int:
+    def unsure(self, capacity: int, shards: int) -> set[tuple[int, int]]:
+        """Gaps that the greedy check's cuts may fall into."""
+        out, low, high = set(), 0, 0
+        for _ in range(shards):
+            for t in (low + capacity, high + capacity):
+                if self.bounds(t)[0] != self.bounds(t)[1]:
+                    out.add(self.gap(t))
+            low, high = self.bounds(low + capacity)[0], self.bounds(high + capacity)[1]
+        return out
+
+    def capacity(self, shards: int, probes: int = 8) -> int:
         """The smallest capacity for which the greedy check succeeds."""
-        while True:
-            least, most = self.smallest(shards, 1), self.smallest(shards, 0)
-            if least == most:
-                return most
-            gaps, first, last = [], 0, 0
-            for _ in range(shards):
-                first, last = first + least, last + most
-                i, j = bisect_right(self.known, first) - 1, bisect_right(self.known, last) - 1
-                gaps += [(self.known[k], self.known[k + 1]) for k in range(i, min(j + 1, len(self.tight))) if not self.tight[k]]
-                first, last = self.bounds(first)[0], self.bounds(last)[1]
-            self.refine(gaps)
+        while (least := self.smallest(shards, 1)) < (most := self.smallest(shards, 0)):
+            tried = {least + (most - least) * k // (probes - 1) for k in range(probes)}
+            self.refine(set().union(*(self.unsure(c, shards) for c in tried)))
+        return most
 
     def cuts(self, shards: int) -> list[int]:
         """Ends of all shards but the last. No shard is above the smallest capacity, and each cut is the one
