@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_links, html_text, mixing, pii, rollup, sharding, toxicity
+from . import embedding_links, html_text, mixing, pii, rollup, sharding, shingle_join, toxicity
 
 QUERIES = {
     "op1_embedding_links": embedding_links.op1_embedding_links,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_html_text": html_text.op7_html_text,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_rollup": rollup.op9_token_rollup,
+    "op10_shingle_join": shingle_join.op10_shingle_join,
 }
 
 ORACLES = {
     "op1_embedding_links": embedding_links.SQL,
     "op8_mixing": mixing.SQL,
     "op9_token_rollup": rollup.SQL,
+    "op10_shingle_join": shingle_join.SQL,
 }
