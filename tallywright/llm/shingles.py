@@ -6,6 +6,10 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For the words of letters and digits: every other ASCII byte is a space.
+MARKS = np.ones(256, bool)
+MARKS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = False
+MARKS[0x80:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _M = 0x9E3779B97F4A7C55
@@ -38,13 +42,13 @@ def runs(values: list[bytes], most: int = 1 << 20):
         yield first, len(values)
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the words of each text: runs of anything but ASCII white space, A-Z in lower case."""
+def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> list[np.ndarray]:
+    """Hashes of the words of each text: runs of anything but ASCII white space (or ``space``), A-Z in lower case."""
     out: list[np.ndarray] = []
     for a, b in runs(texts):
         data = b"\n" + b"\n".join(texts[a:b]) + b"\n"
         buf = _LOWER[np.frombuffer(data, np.uint8)]
-        edge = np.diff(_SPACE[buf].astype(np.int8))
+        edge = np.diff(space[buf].astype(np.int8))
         start, end = np.nonzero(edge == -1)[0] + 1, np.nonzero(edge == 1)[0] + 1
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(len(buf), _M))])
