@@ -105,7 +105,26 @@ def fair_mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), budget: f
 
     n = sum((kept(c).cast("long") for c in range(most)), F.lit(0))
     scratch.drop(rows)
-    return queue.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (n * F.col("size")).alias("taken"))
+    return queue.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (n * F.col("size")).alias("taken"), n.alias("copies"), "key")
+
+
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+    """The rows of the mix with all their columns, each as often as it is taken.
+
+    The mix takes a run of each source's shuffled order in every copy, so its last row tells for any row
+    whether it is in: rows meet a table of one row a source, and texts aren't shuffled. Rows that repeat the
+    id at which a source ends are taken alike.
+    """
+    taken = fair_mix(docs, id_col=id_col, source_col=source_col, **how)
+    most = how.get("most", 2)
+    order = F.struct("key", F.col(f"`{id_col}`").alias("id"))
+    ends = taken.groupBy(F.col(f"`{source_col}`").alias("__source")).agg(*[F.max(F.when(F.col("copies") > c, order)).alias(f"__end{c}") for c in range(most)])
+    ends = Scratch(docs.sparkSession, "mixing").write(ends, "ends")
+    key = F.coalesce(F.md5(F.col(f"`{id_col}`").cast("string")), F.lit(""))
+    here = F.struct(key.alias("key"), F.col(f"`{id_col}`").alias("id"))
+    n = sum((F.coalesce(here <= F.col(f"__end{c}"), F.lit(False)).cast("int") for c in range(most)), F.lit(0))
+    joined = docs.join(ends, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")))
+    return joined.withColumn("__n", n).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

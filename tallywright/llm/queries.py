@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_links, html_text, mixing, pii, repeats, rollup, sharding, shingle_join, toxicity
+from . import decontam, embedding_links, html_text, mixing, pii, repeats, rollup, sharding, shingle_join, toxicity
 
 QUERIES = {
     "op1_embedding_links": embedding_links.op1_embedding_links,
     "op2_sharding": sharding.op2_sharding,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_pii": pii.op4_pii,
     "op5_repeats": repeats.op5_repeats,
     "op6_toxicity": toxicity.op6_toxicity,
