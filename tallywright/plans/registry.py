@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import composition  # noqa: F401  (registers its queries)
+from .common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
