@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composition  # noqa: F401  (registers its queries)
+from . import attribution, composition  # noqa: F401  (they register their queries)
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
