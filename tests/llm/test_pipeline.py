@@ -1,5 +1,7 @@
 """The stages against brute force over a small corpus."""
 
+import random
+
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -16,9 +18,10 @@ def corpus(spark, tmp_path_factory):
 
     at = tmp_path_factory.mktemp("corpus")
     texts = list(toxic_texts(160, 9))
-    item = " ".join(f"item{k}" for k in range(25))
+    r = random.Random(77)
+    item = " ".join("".join(r.choice(["an", "te", "lo", "ri", "mu"]) for _ in range(r.randint(1, 4))) for _ in range(25))
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, (t, _) in enumerate(texts)]
-    rows += [(500, texts[0][0] + " more", "en", "s0", 1), (501, f"clean {item} words", "en", "s1", 1), (502, None, "en", None, None), (503, "", None, "s2", 0)]
+    rows += [(500, texts[0][0] + " more", "en", "s0", 1), (501, f"an {item} lo", "en", "s1", 1), (502, None, "en", None, None), (503, "", None, "s2", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
