@@ -6,6 +6,7 @@ A lost executor costs only the tasks of the stage that runs, never what such a t
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,8 +48,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema or df.schema).parquet(path)
         out._scratch_path = path
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are over: it does when their plans are garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
