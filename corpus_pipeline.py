@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm.decontam import clean_rows
 from tallywright.llm.mixing import mixed_rows
-from tallywright.llm.scratch import Scratch
+from tallywright.operators.scratch import Scratch
 from tallywright.llm.sharding import shard_by_bytes
 from tallywright.llm.shingle_join import distinct_rows
 from tallywright.llm.toxicity import fit, score_toxicity

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
-from .scratch import Scratch
+from ..operators.graph import components
+from ..operators.scratch import Scratch
 
 #: Cell width in deviations of a unit vector's projection, and the share of random pairs within one cell of it.
 CELL, RANDOM_IN_CELL = 2.0, 0.486

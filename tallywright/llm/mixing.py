@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..operators.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of the shuffled order within each source, by the first hex digits of the key.

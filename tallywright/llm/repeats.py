@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..operators.scratch import Scratch
 from .shingles import _INVERSE, _M, _powers, encoded, mix, runs
 from .tables import map_rows
 

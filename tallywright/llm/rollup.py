@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..operators.scratch import Scratch
 
 KEYS = ("source", "lang", "tokenizer")
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"

@@ -18,7 +18,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..operators.scratch import Scratch
 
 #: Group keys start with so many hex digits of their block: 65,536 blocks for prefix sums.
 BLOCK_DIGITS = 4

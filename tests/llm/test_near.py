@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from tallywright.llm import embedding_links, shingle_join
-from tallywright.llm.graph import components
-from tallywright.llm.scratch import Scratch
+from tallywright.operators.graph import components
+from tallywright.operators.scratch import Scratch
 
 
 def reach(n, links):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tallywright.llm import decontam, html_text, pii, repeats, rollup, toxicity
-from tallywright.llm.scratch import Scratch
+from tallywright.operators.scratch import Scratch
 
 
 def test_emails_as_the_pattern_finds_them():
