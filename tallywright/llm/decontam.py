@@ -2,9 +2,9 @@
 
 A seed is the hash of the words at the 1s of a mask laid over a text; the 0s may hold anything, so a
 substituted word spoils only the placements that read it. Every placement in every text is looked up among
-the benchmark's, and around each hit text and item are compared word by word along the hit's diagonal: the
-best run scores 1 a match and takes off 4 a difference, which keeps runs of four fifths equal words whole. A
-text is contaminated where such a run holds enough of the item's words.
+the benchmark's, and around each hit text and item are compared word by word along the hit's diagonal: of
+all runs with at least four fifths equal words, wherever their differences lie, the one that matches most is
+taken. A text is contaminated where such a run holds enough of the item's words.
 
 The benchmark's seeds go to every task in blocks of bounded size, one pass over the texts for each block.
 """
@@ -12,6 +12,7 @@ The benchmark's seeds go to every task in blocks of bounded size, one pass over
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from .shingles import MARKS, encoded, mix, word_hashes
 from .tables import map_rows
 
-#: Weight 6, chosen so that one of them fits any 14 words with 2 substituted, as a test shows.
-MASKS = ("1101101011", "110011000111", "11101000010011", "10110100111", "111111")
+#: Weight 6, chosen so that one of them fits any 14 words with 2 substituted and any 15, 20 or 25 with a fifth
+#: substituted, as tests show; any run of LEAST matches and four fifths equal words holds one of these.
+MASKS = ("1101101011", "110011000111", "11101000010011", "10110100111", "111111", "110001010011")
 #: Words that a run must match; of an item with fewer than that by a fifth, four fifths of its words.
 LEAST = 12
 #: Seeds of a benchmark block (16 bytes each, and a filter of 1 MB), which every task holds.
@@ -43,21 +45,51 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
+def needed(n: int) -> int:
+    """Matches that a run needs for an item of n words."""
+    return min(LEAST, -(-4 * n // 5))
+
+
+def short_masks(n: int) -> set[str]:
+    """Masks for items of n words, fewer than MASKS are made for: any two of so many parts that the
+    substitutions the item may have leave two whole."""
+    spare = n - needed(n)
+    if not spare:
+        return {"1" * n}
+    cuts = [n * k // (spare + 2) for k in range(spare + 3)]
+    return {"".join("1" if cuts[a] <= i < cuts[a + 1] or cuts[b] <= i < cuts[b + 1] else "0" for i in range(n)).strip("0") for a, b in combinations(range(spare + 2), 2)}
+
+
+def best_run(same: np.ndarray) -> tuple[int, int, int]:
+    """Matches, start and end of the run that matches most, of those with at least four fifths equal words.
+
+    It starts and ends at a match.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
+    matched = np.concatenate([[0], np.cumsum(same)])
+    # the first start from which the score doesn't fall up to each end
+    start = np.searchsorted(-np.minimum.accumulate(score), -score)
+    end = int(np.argmax(matched - matched[start]))
+    at = np.nonzero(same[start[end] : end])[0]
+    return (len(at), int(start[end] + at[0]), int(start[end] + at[-1]) + 1) if len(at) else (0, 0, 0)
+
+
 def words_of(texts: list[str | None]) -> list[np.ndarray]:
     """Hashes of runs of letters and digits, in lower case."""
     return word_hashes(encoded([t.lower() if t else t for t in texts]), MARKS)
 
 
 class Benchmark:
-    """A block of items with the seeds of all masks; items too short for the masks have one over all their words."""
+    """A block of items with the seeds of all masks; items too short for the masks have some of their own."""
 
     def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
         short = {len(w) for w in words if 0 < len(w) < max(map(len, MASKS))}
-        self.masks = [*MASKS, *("1" * n for n in sorted(short))]
+        own = {n: short_masks(n) for n in short}
+        self.masks = [*MASKS, *sorted(set().union(*own.values()) - set(MASKS))]
         self.tables = []
         for mask in self.masks:
-            of = [(k, seeds(w, mask)) for k, w in enumerate(words) if mask in MASKS or len(w) == len(mask)]
+            of = [(k, seeds(w, mask)) for k, w in enumerate(words) if mask in MASKS or mask in own.get(len(w), ())]
             seed = np.concatenate([s for _, s in of] or [np.zeros(0, np.uint64)])
             item = np.concatenate([np.full(len(s), k) for k, s in of] or [np.zeros(0, int)]).astype(np.int32)
             at = np.concatenate([np.arange(len(s)) for _, s in of] or [np.zeros(0, int)]).astype(np.int32)
@@ -68,8 +100,7 @@ class Benchmark:
 
     def need(self, k: int) -> int:
         """Matches that a run needs for this item."""
-        n = len(self.words[k])
-        return min(LEAST, -(-4 * n // 5))
+        return needed(len(self.words[k]))
 
     def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal) of every placement that text and item share."""
@@ -98,11 +129,9 @@ class Benchmark:
             item = self.words[k]
             a, b = max(0, -d), min(len(item), len(words) - d)
             same = item[a:b] == words[a + d : b + d]
-            score = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
-            least = np.minimum.accumulate(score)
-            end = int(np.argmax(score - least))
-            start = int(np.argmin(score[: end + 1]))
-            matched = int(same[start:end].sum())
+            if np.count_nonzero(same) < self.need(k):
+                continue
+            matched, start, end = best_run(same)
             if matched >= self.need(k) and (k not in best or matched > best[k]["matched"]):
                 best[k] = {"item_id": self.ids[k], "matched": matched, "run": end - start, "item_words": len(item), "word_start": a + d + start}
         return list(best.values())

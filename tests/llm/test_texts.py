@@ -135,6 +135,28 @@ def test_decontamination(spark):
     assert decontam.find_overlaps(d, b.limit(0)).count() == 0 and decontam.clean_rows(d, b.limit(0)).count() == len(docs_)
 
 
+def test_a_run_is_found_wherever_words_are_substituted(spark):
+    # all that an item of n words may have substituted, and runs of four fifths at the least number of matches
+    changed = [(n, c) for n in range(1, 21) for c in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(3 + (n == 15))) if n - len(c) >= min(12, -(-4 * n // 5))]
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 21)]
+    docs = [(i, " ".join(["a b c", *("z" if k in c else f"w{n}x{k}" for k in range(n)), "d e"])) for i, (n, c) in enumerate(changed)]
+    got = {(x.doc_id, x.item_id) for x in decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert got == {(i, n) for i, (n, _) in enumerate(changed)}
+    placed = [sum(1 << o + i for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for o in range(26 - len(m))]
+    for n in (15, 20, 25):
+        fit = [p for p in placed if p < 1 << n]
+        assert all(any(not p & z for p in fit) for z in (sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)))
+
+
+def test_best_run_against_all_runs():
+    r = random.Random(8)
+    for _ in range(300):
+        same = np.array([r.random() < r.choice([0.5, 0.8, 0.9]) for _ in range(r.randint(0, 40))], bool)
+        n, a, b = decontam.best_run(same)
+        assert n == max([int(same[i:j].sum()) for i in range(len(same)) for j in range(i, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)], default=0)
+        assert n == same[a:b].sum() and 5 * n >= 4 * (b - a) and (not n or (same[a] and same[b - 1]))
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(12)]
     d = spark.createDataFrame([(i, f"a b c {t} d e") for i, t in items], "doc_id long, text string")
