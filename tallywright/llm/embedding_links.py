@@ -5,9 +5,9 @@ difference of their projections on a Gaussian direction is normal with deviation
 dimensions there are; that calibrates every step by recall at the threshold.
 
 Coarse step: projections are cut into cells, and tables of several projections bring together what falls
-into the same cells. Inside such a bucket rows are sorted by one projection, and the pairs within a
-query-centred window are counted over many more projections: a pair that collides in enough windows
-is verified by its cosine in double precision. A pair is judged in the first table that it shares.
+into the same cells. Inside such a bucket every pair's query-centred windows are counted over many more
+projections: a pair that collides in enough windows is verified by its cosine in double precision. That
+depends on nothing but the pair, not on the bucket's size, so a pair is judged in the first table that it shares.
 
 Equal vectors are one class. The number of projections to a table grows with the logarithm of the number
 of classes, so buckets of unrelated vectors stay small; a bucket that is large all the same, one group of
@@ -105,30 +105,25 @@ def unit_rows(raw: list[bytes], typed=np.float64) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray | None, plan: Plan, block: int = 512):
-    """Index pairs of linked rows, within a or between a and b, that share no earlier table."""
+    """Index pairs of linked rows, within a or between a and b."""
     _, _, fine = plan.directions(a.shape[1])
     width = np.float32(WINDOW * plan.radius)
     same = b is None
     b = a if same else b
-    pa, pb = (a @ fine).astype(np.float32), (b @ fine).astype(np.float32)
-    order = np.argsort(pb[:, 0], kind="stable")
-    first = pb[order, 0]
+    pa, pb = (np.ascontiguousarray((x @ fine).astype(np.float32).T) for x in (a, b))
     out = []
-    turn = np.argsort(pa[:, 0], kind="stable")
     for s in range(0, len(a), block):
-        rows = turn[s : s + block]
-        low = np.searchsorted(first, pa[rows[0], 0] - width, "left")
-        high = np.searchsorted(first, pa[rows[-1], 0] + width, "right")
-        for t in range(low, high, 4 * block):
-            cols = order[t : min(high, t + 4 * block)]
-            i, j = np.nonzero(np.abs(pa[rows, 0][:, None] - pb[cols, 0][None]) <= width)
-            i, j = rows[i], cols[j]
+        for t in range(s if same else 0, len(b), 4 * block):
+            rows, cols = pa[:, s : s + block], pb[:, t : t + 4 * block]
+            count = np.zeros((rows.shape[1], cols.shape[1]), np.uint8)
+            for p, q in zip(rows, cols, strict=True):
+                count += np.abs(p[:, None] - q) <= width
+            i, j = np.nonzero(count >= plan.least)
+            i, j = i + s, j + t
             if same:
                 i, j = i[i < j], j[i < j]
             for c in range(0, len(i), 1 << 16):
                 u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                near = colliding(pa[u], pb[v], plan)
-                u, v = u[near], v[near]
                 good = np.einsum("ij,ij->i", a[u], b[v]) >= plan.threshold
                 out.append((u[good], v[good]))
     if not out:

@@ -105,5 +105,32 @@ def test_plan_is_calibrated():
     assert (plan.keys(u) == plan.keys(v)).any(1).mean() >= 0.99
 
 
+def near_copies(rng, n, cosine, dim=64):
+    center = rng.standard_normal(dim)
+    x = np.sqrt(cosine) * center / np.linalg.norm(center) + np.sqrt((1 - cosine) / dim) * rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_pairs_of_large_groups_are_found_as_surely_as_of_small_ones(spark):
+    rng = np.random.default_rng(6)
+    groups = [near_copies(rng, 300, c) for c in (0.95, 0.96, 0.97)]
+    plan = embedding_links.Plan(900, 0.95, 0.998, 11)
+    fine = plan.directions(64)[2]
+    for x in groups:
+        got = set(zip(*(k.tolist() for k in embedding_links.linked(x, None, plan)), strict=True))
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+        p = (x @ fine).astype(np.float32)
+        near = embedding_links.colliding(p[i], p[j], plan)
+        assert got == set(zip(i[near].tolist(), j[near].tolist(), strict=True))
+        between = {(a, b + 100) for a, b in zip(*(k.tolist() for k in embedding_links.linked(x[:100], x[100:], plan)), strict=True)}
+        assert between == {(a, b) for a, b in got if a < 100 <= b}
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate(groups).tolist())], "vec_id long, embedding array<double>")
+    n = {r.vec_id: r.n_links for r in embedding_links.link_vectors(d).collect()}
+    for k, x in enumerate(groups):
+        true = (x @ x.T >= 0.95).sum(1) - 1
+        found = np.array([n[300 * k + i] for i in range(300)])
+        assert (found <= true).all() and found.sum() >= 0.998 * true.sum()
+
+
 def test_no_vectors(spark):
     assert embedding_links.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
