@@ -2,7 +2,9 @@
 
 The first pass cuts a page into blocks and decides each by its container, link density, stop-word density
 and length; blocks too short or too plain to decide stay open. In the second pass an open block takes the
-label of its nearest decided neighbours; what no neighbour decides goes by whether an article holds it.
+label of its nearest decided neighbours; what no neighbour decides goes by whether an article holds it. Stop
+words speak against a block only where the page is in their languages, and a page without an article and
+without a block decided as text keeps all that is open.
 The scan is linear in the page, whatever is left unclosed.
 """
 
@@ -169,22 +171,28 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
-    first: list[bool | None] = []
-    for b in found:
+    first: list[bool | None] = [None] * len(found)
+    stops = {}
+    for i, b in enumerate(found):
         size = len(b.text)
         if b.outside or b.links > MAX_LINKS * size or (b.text.startswith(("©", "Copyright")) and not b.article):
-            first.append(False)
-        elif size < SHORT or b.heading:
-            first.append(None)
-        else:
+            first[i] = False
+        elif size >= SHORT and not b.heading:
             words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-            if stops >= STOP_HIGH and (size >= LONG or b.article):
-                first.append(True)
-            elif stops < STOP_LOW and not b.article and size >= LONG:
-                first.append(False)
-            else:
-                first.append(None)
+            stops[i] = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words), len(words)
+    held = any(label is None and b.article for label, b in zip(first, found, strict=True))
+    # a page is in the languages of the stop words if half of its text has as many as running text
+    listed = sum(len(found[i].text) * (1 if n >= STOP_HIGH * of else -1) for i, (n, of) in stops.items()) >= 0
+    for i, (n, of) in stops.items():
+        b, size = found[i], len(found[i].text)
+        if n >= STOP_HIGH * of and (size >= LONG or b.article):
+            first[i] = True
+        elif not listed and size >= LONG and (b.article or not held):  # there length decides
+            first[i] = True
+        elif listed and n < STOP_LOW * of and not b.article and size >= LONG:
+            first[i] = False
+    if not held and True not in first:
+        return [label is None for label in first]
     # in one sweep each way: the nearest decided label and its distance; an article's blocks look inside it only
     n = len(found)
     sides = []

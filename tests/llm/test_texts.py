@@ -65,6 +65,22 @@ def test_page_without_article_goes_by_density():
     assert html_text.main_text(menu + body + menu).count("\n") <= 1 and "number" not in html_text.main_text(menu + body + menu)
 
 
+def test_page_without_article_or_in_another_language_keeps_its_text():
+    assert html_text.main_text("<body><p>Short text.</p></body>") == "Short text."
+    lines = [f"Paragraph {k} has a hundred characters or so, as the text of a page that is of short parts would have." for k in range(4)]
+    assert html_text.main_text("<nav><a href=/>Home</a></nav>" + "".join(f"<p>{x}</p>" for x in lines) + "<footer>All rights</footer>").split("\n") == lines
+    russian = "Сегодня утром городской совет принял решение построить новую библиотеку рядом со старым парком, сообщила газета. " * 2
+    chinese = "市议会今天上午决定在旧公园旁边修建一座新的图书馆" * 8
+    english = "The words of the page are many and they are the text that is to be read by all of us who are here. " * 3
+    for text in (russian, chinese):
+        body = f"<nav><a href=/>x</a></nav><div><a href=/>menu</a></div><p>{text}</p><p>{text}</p><p>{text}</p><div><a href=/>menu</a></div>"
+        assert html_text.main_text(body) == "\n".join([text.strip()] * 3)
+        assert html_text.main_text(body + f"<p>{english if text is chinese else english[:180]}</p>").startswith(text.strip() + "\n" + text.strip())
+    # on a page of a listed language low density still tells lists from text
+    assert html_text.main_text(f"<p>{english}</p>" * 3 + f"<p>{'Tokyo Osaka Kyoto Nagoya ' * 8}</p>") == "\n".join([english.strip()] * 3)
+    assert html_text.main_text("<div>Some words beside</div><article><p>Short.</p></article>") == "Short."
+
+
 @pytest.mark.parametrize("bad", ["<div>" * 20_000, "<p " * 20_000, '<a b="' * 20_000, "<script>" * 20_000, "&" * 50_000, "<!--" * 20_000])
 def test_hostile_pages_are_linear(bad):
     html_text.main_text(bad + "<article><p>text</article>")
