@@ -40,23 +40,36 @@ NAMES = frozenset(
     respond share sharing sidebar signup site-footer site-header social sponsor sponsored subscribe subscription
     toolbar widget widgets complementary contentinfo""".split()
 )
+# Words that say where such a part is, not what it holds.
+PLACES = frozenset("area bar block bottom box button buttons container global inner left link links list main mobile outer primary right secondary section site slot sticky top unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAX_LINKS, STOP_HIGH, STOP_LOW, LONG, SHORT = 0.4, 0.25, 0.1, 160, 60
 
 _STOP_OR_END = re.compile(r"[>\"']")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_EMPTY = re.compile(r"[\s\"']/$")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _named_outside(attrs: str) -> bool:
-    for _, value in _ATTR.findall(attrs):
-        for name in value.strip("\"'").lower().split():
+def _attrs(attrs: str) -> list[tuple[str, str]]:
+    return [(name.lower(), value.strip("\"'")) for name, value in _ATTR.findall(attrs)]
+
+
+def _named_outside(attrs: str) -> int:
+    """2 for what is hidden or named as not the article, 1 for what is so only outside an article, else 0."""
+    most = 0
+    for key, value in _attrs(attrs):
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _UNSEEN.search(value)):
+            return 2
+        for name in value.lower().split() if key in ("class", "id", "role") else ():
             parts = _PARTS.split(name)
-            if name in NAMES or parts[0] in NAMES or parts[-1] in NAMES:
-                return True
-    return bool(_HIDDEN.search(attrs))
+            # a compound counts whole: "footer-links" does, "social-policy" and "entry-header" don't
+            if name in NAMES or ((parts[0] in NAMES or parts[-1] in NAMES) and all(x in NAMES or x in PLACES or x[:1].isdigit() for x in parts)):
+                most = max(most, 1 if all(x == "header" or x not in NAMES for x in parts) and name not in NAMES - {"header"} else 2)
+    return most
 
 
 class Block:
@@ -73,6 +86,7 @@ def blocks(page: str) -> list[Block]:
     linked = 0  # characters inside links of the open block
     stack: list[tuple[str, bool]] = []  # open block elements and whether what they hold is outside
     in_link, gone = False, set()
+    spans, depth = False, 0  # whether the open link is closed by its own tag, and the elements that hold it
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -130,7 +144,10 @@ def blocks(page: str) -> list[Block]:
             break  # the page ends inside a tag
         attrs, at = page[named.end() : m.start()], m.end()
         if name == "a":
-            in_link = not closing
+            in_link = not closing and not _EMPTY.search(attrs) and any(key == "href" for key, _ in _attrs(attrs))
+            if in_link:
+                after = _ANCHOR.search(page, at)
+                spans, depth = bool(after and after[1]), len(stack)
         elif name == "br":
             text.append(" ")
         elif name in RAW and not closing:
@@ -141,20 +158,24 @@ def blocks(page: str) -> list[Block]:
                     break
                 over = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                 at = over.end() if over else end
-        elif name in BLOCKS or (name not in VOID and not closing and _named_outside(attrs)):
+        elif name in BLOCKS or (name not in VOID and not closing and attrs and _named_outside(attrs)):
             flush()
+            in_link = in_link and spans
             if closing:
                 if any(n == name for n, _ in stack):
                     while stack.pop()[0] != name:
                         pass
+                    in_link = in_link and len(stack) >= depth
             elif name not in VOID:
                 if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADINGS:
                     if stack and (stack[-1][0] == name or stack[-1][0] == "p"):
                         stack.pop()
                 elif name in BLOCKS and stack and stack[-1][0] == "p":
                     stack.pop()
+                in_link = in_link and len(stack) >= depth
                 inside = any(n in ("article", "main") for n, _ in stack)
-                outside = name in OUTSIDE or (name == "header" and not inside) or (name not in ("body", "html", "main") and _named_outside(attrs))
+                named = 0 if name in ("body", "html", "main") else _named_outside(attrs)
+                outside = name in OUTSIDE or (name == "header" and not inside) or named > inside
                 if name in ("article", "main") and not outside:
                     # an element left open before the article doesn't hold it
                     while stack and stack[-1][1] and stack[-1][0] in OUTSIDE and not re.compile(rf"</{stack[-1][0]}\b", re.I).search(page, at):

@@ -81,6 +81,33 @@ def test_page_without_article_or_in_another_language_keeps_its_text():
     assert html_text.main_text("<div>Some words beside</div><article><p>Short.</p></article>") == "Short."
 
 
+LONG_TEXT = "The words of the page are many and they are the text that is to be read by all of us who are here. " * 3
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'aria-hidden="false"', 'class="overflow-hidden"', 'class="social-policy"', 'class="entry-header"', 'class="article-header"', "class=post-header", "class=header", 'title="hidden class=ad"'])
+def test_names_that_do_not_put_content_outside(attrs):
+    assert html_text.main_text(f"<article><div {attrs}><h1>Title</h1><p>{LONG_TEXT}</p></div></article>") == "Title\n" + LONG_TEXT.strip()
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'aria-hidden="true"', 'style="display: none"', "class=ad", 'class="x footer-links"', "id=sidebar-left", "class=social-share", "role=navigation", "class=ad-300x250"])
+def test_names_that_put_content_outside(attrs):
+    assert html_text.main_text(f"<article><p>{LONG_TEXT}</p><div {attrs}><p>Not this {LONG_TEXT}</p></div></article>") == LONG_TEXT.strip()
+
+
+@pytest.mark.parametrize("anchor", ["<a id=x>", "<a name=x />", '<a href="/x" />'])
+def test_anchors_that_are_no_links(anchor):
+    assert html_text.main_text(f"<article><p>{anchor}{LONG_TEXT}</p><p>{LONG_TEXT}</p></article>") == "\n".join([LONG_TEXT.strip()] * 2)
+
+
+def test_links_end_with_their_block():
+    text = LONG_TEXT.strip()
+    for rest in ("", "<p>See <a href=/y>this</a></p>", "<p>End</a></p>"):
+        got = html_text.main_text(f"<article><p><a href=/x>More</p><p>{text}</p><p>{text}</p>{rest}</article>").split("\n")
+        assert got.count(text) == 2
+    card = f"<a href=/x><h3>Other page</h3><p>Teaser: {text}</p></a>"
+    assert html_text.main_text(f"<article><p>{text}</p>{card}</article>").split("\n")[0] == text and "Teaser" not in html_text.main_text(f"<article><p>{text}</p>{card}</article>")
+
+
 @pytest.mark.parametrize("bad", ["<div>" * 20_000, "<p " * 20_000, '<a b="' * 20_000, "<script>" * 20_000, "&" * 50_000, "<!--" * 20_000])
 def test_hostile_pages_are_linear(bad):
     html_text.main_text(bad + "<article><p>text</article>")
