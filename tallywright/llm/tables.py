@@ -15,6 +15,14 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in wanted.items()])
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """A column name like this one that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` gets each Arrow batch as a dict of lists and yields dicts of lists for ``schema``."""
     import pyarrow as pa

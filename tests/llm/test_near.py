@@ -34,7 +34,8 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_shingle_join_against_all_pairs(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_shingle_join_against_all_pairs(spark, hot):
     r = random.Random(2)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [None, "", "  ", "one two", "ONE two", "one two three"]
@@ -49,6 +50,11 @@ def test_shingle_join_against_all_pairs(spark):
             for _ in range(r.randint(0, 3)):
                 copy[r.randrange(len(copy))] = r.choice(vocabulary)
             texts.append(" ".join(copy))
+    for _ in range(60):  # near the threshold on either side
+        copy = list(passage)
+        for _ in range(r.randint(0, 2)):
+            copy[r.randrange(30)] = r.choice(vocabulary)
+        texts.append(" ".join(copy[: r.randint(25, 30)]))
     hub = [r.choice(vocabulary) for _ in range(100)]
     for k in range(30):
         copy = list(hub)
@@ -59,7 +65,7 @@ def test_shingle_join_against_all_pairs(spark):
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = reach(len(texts), links)
     d = spark.createDataFrame([(i, t, 5, "g") for i, t in enumerate(texts)], "doc_id long, text string, n int, digest string").repartition(5)
-    got = {x.doc_id: x for x in shingle_join.near_duplicates(d).collect()}
+    got = {x.doc_id: x for x in shingle_join.near_duplicates(d, hot=hot).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i].component_id for i in range(len(texts))] == want
     kept = shingle_join.distinct_rows(d)
