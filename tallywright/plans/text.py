@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import segments as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import attribution as A
@@ -334,10 +335,38 @@ def array_literals(spark, d):
     return t.select("literal", F.array_join(K.pg_array_col("literal"), "|").alias("joined"))
 
 
-@query()
+PROSE = rf"""len(regexp_extract_all(u, '[^\t\n\v\f\r ]+')) >= 12 AND length(regexp_replace(u, '[^0-9]', '', 'g')) / length(u) <= 0.08 AND NOT regexp_matches(u, '{T.SPACED_CAPITALS}')
+AND len(list_filter(regexp_extract_all(u, '[^\t\n\v\f\r ]+'), lambda x: regexp_matches(x, '^\p{{Ll}}'))) / len(regexp_extract_all(u, '[^\t\n\v\f\r ]+')) >= 0.4"""
+
+
+def packed_sentences(block: str) -> str:
+    """SQL for a block's runs of sentences: a fold that keeps the finished runs in front of the open one."""
+    cut = rf"string_split(regexp_replace({block}, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))"
+    return f"string_split(list_reduce({cut}, lambda acc, x: acc || CASE WHEN length(split_part(acc, chr(30), -1)) + length(x) + 1 > {S.MOST} THEN chr(30) ELSE ' ' END || x), chr(30))"
+
+
+def statements_sql(blocks: str) -> str:
+    plain = rf"list_transform({blocks}, lambda b: trim(regexp_replace(b, '\s+', ' ', 'g')))"
+    opened = rf"list_transform({plain}, lambda b: regexp_replace(b, '{S.BOILERPLATE}[ :.—-]*', ''))"
+    cut = f"list_transform(list_filter({opened}, lambda b: length(b) >= {S.LEAST}), lambda b: CASE WHEN length(b) <= {S.MOST} THEN [b] ELSE {packed_sentences('b')} END)"
+    return f"list_filter(flatten({cut}), lambda u: length(u) >= {S.LEAST} AND {PROSE})"
+
+
+PARAGRAPHS = r"string_split_regex(text, '\n\s*\n')"
+JOINED = rf"""string_split(list_reduce(list_prepend('', list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' '))), lambda acc, x: acc || CASE
+WHEN x = '' THEN CASE WHEN length(split_part(acc, chr(30), -1)) >= {S.LEAST} THEN chr(30) ELSE '' END
+WHEN length(split_part(acc, chr(30), -1)) + length(x) + (split_part(acc, chr(30), -1) <> '')::INT >= CASE WHEN regexp_matches(x, '[.!?:;]$') THEN {S.WRAPPED} ELSE {3 * S.WRAPPED} END
+THEN CASE WHEN split_part(acc, chr(30), -1) = '' THEN '' ELSE ' ' END || x || chr(30) ELSE CASE WHEN split_part(acc, chr(30), -1) = '' THEN '' ELSE ' ' END || x END), chr(30))"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+')) AS words, {statements_sql(PARAGRAPHS)} AS own FROM documents WHERE text <> ''),
+a AS (SELECT doc_id, own, CASE WHEN words > 500 AND len(own) * 500 < words THEN {statements_sql(JOINED)} END AS again FROM t),
+c AS (SELECT doc_id, CASE WHEN len(again) > len(own) THEN again ELSE own END AS u FROM a)
+SELECT doc_id, (generate_subscripts(u, 1) - 1)::INT AS unit_index, unnest(u) AS unit FROM c""")
 def document_units(spark, d):
-    """UD1, UD5, UD8: statements that each document is made of."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(K.segment_col("text")).alias("unit_index", "unit"))
+    """UD1, UD8: statements that each document is made of."""
+    found = S.with_statements(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.posexplode("statements").alias("unit_index", "unit"))
 
 
 @query()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.functions import kernels as K
+from tallywright.functions.segments import joined_lines, with_statements
 from tallywright.functions import text as T
 from tallywright.functions import urls as U
 from tallywright.operators import classify, cluster, terms
@@ -51,15 +52,29 @@ def test_strip_blocks_equals_the_pattern_and_is_linear():
     assert time.time() - began < 5
 
 
-def test_segments():
+def test_segments(spark):
     p = "We believe that every child in the state should have a good school and that teachers deserve fair pay for the hard work they do. "
-    assert len(K.segment(p + "\n\n" + p)) == 2
-    assert K.segment("Contents 1 2 3\n\nPREAMBLE") == [] and K.segment(None) == []
-    long = K.segment(p * 40)
-    assert len(long) > 2 and all(len(u) <= 1500 for u in long)
-    assert K.segment("PAID FOR BY " + p)[0].startswith("We believe")
-    wrapped = "\n".join((p * 30).split(". "))
-    assert len(K.segment(wrapped)) >= 3
+    short_lines = "\n\n".join((p * 40).replace(" teachers", "\n\nteachers").split(" should "))
+    long_sentence = "we hold " + "that all of this is so and " * 80 + "no more."
+    texts = [
+        p + "\n\n" + p, "Contents 1 2 3\n\nPREAMBLE", None, "", p * 40, "PAID FOR BY " + p, "\n".join((p * 30).split(". ")), short_lines, long_sentence,
+        "A ND D EMOCRACY " + p, "Page 12 . 13 . 14 " * 20, "PREAMBLE too short", p.strip() + "\n \t\n" + p + "\nmore",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.statements for r in with_statements(d, "text").collect()}
+    assert got[0] == [p.strip()] * 2 and got[1] == got[2] == got[3] == []
+    assert len(got[4]) == -(-40 // (1500 // len(p))) and " ".join(got[4]) == (p * 40).strip() and all(len(u) <= 1500 for u in got[4])
+    assert got[5][0].startswith("We believe") and len(got[6]) >= 3 and len(got[7]) >= 3 and got[8] == [long_sentence]
+    assert got[9] == got[10] == got[11] == [] and got[12] == [p.strip(), p + "more"]
+
+
+def test_joined_lines(spark):
+    line = "x" * 49
+    texts = ["\n".join([line] * 30), "\n".join([line, line + "."] * 20), "\n\n".join([line] * 5), f"  a b \n\n\n  c  \n d", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: [len(b) for b in r.b] for r in d.select("id", joined_lines(F.col("text")).alias("b")).collect()}
+    assert got[0] == [24 * 50 - 1 + 50 * (24 * 50 - 1 < 1200), 5 * 50 - 1] and got[1] == [8 * 50 + 4 - 1] * 5
+    assert got[2] == [149, 99] and got[3] == [7] and got[4] == []
 
 
 @pytest.mark.parametrize(("literal", "want"), [("{bill,resolution}", ["bill", "resolution"]), ('{"a, b",c}', ["a, b", "c"]), (r'{"say \"x\"",y}', ['say "x"', "y"]), ("", []), (None, []), ("{}", [])])
