@@ -49,6 +49,13 @@ OTHER_DOCUMENTS = (
     r"vol\.?\s*[ivx\d]+,?\s*(?:no|issue)\.?\s*\d+|a message from the chair|letter from the chair|quote of the month|minutes of the|call to order|"
     r"the meeting was adjourned|roll call vote|annual report|report to shareholders|the role of the (?:town|county) chair|table of contents\s+welcome"
 )
+OTHER_NAMES = (
+    r"newsletter|bylaws|by-laws|minutes|agenda-?packet|annual[-_ ]?report|shareholders?[-_ ]?report|manual|briefing|brochure|"
+    r"call[-_ ]?(?:of|to)[-_ ]?(?:the[-_ ]?)?(?:rscc|convention|meeting)|insider|roster|directory|contribution|invoice|agenda"
+)
+OTHER_PATHS = r"/(?:news/)?press/|/press-releases?/|/blog/categor|/news/[a-z0-9-]+/?$"
+BINARY_TYPES = ("image/", "video/", "audio/", "font/", "application/zip", "application/octet-stream")
+BINARY_STARTS = (b"\x89PNG", b"GIF8", b"\xff\xd8\xff", b"RIFF", b"\x00\x00\x01\x00", b"PK\x03\x04", b"\x1f\x8b", b"OggS", b"\x00\x00\x00 ftyp")
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ɵ": "ti", "ƞ": "tf", "Ʃ": "tt", "ƫ": "tti"}
 
 
@@ -155,6 +162,9 @@ def confirm_document(text: Column, name: Column | None = None, rivals: list[str]
     reason = F.when(body == "", "no text").when(F.length(body) < least, "too short").when(hits < 3, "lacks platform language").when(markers >= 2, "another class of document")
     if name is not None:
         own = F.regexp_count(body, F.concat(F.lit(r"(?i)\b\Q"), name, F.lit(r"\E\b")))
+        letters = F.regexp_replace(F.lower(name), r"[^a-z]", "")
+        apart = F.regexp_count(F.regexp_replace(F.lower(body), r"[^0-9a-z]+", ""), letters)
+        own = F.when((own == 0) & (spaces < 0.08) & (letters != ""), apart).otherwise(own)
         reason = reason.when((own < 2) & (count_matches(body, NATIONAL) >= 2), "national platform").when(own == 0, "never names its state")
         for r in rivals or ():
             apart = ~F.contains(F.lit(r), name) & ~F.contains(name, F.lit(r))
@@ -175,8 +185,44 @@ def html_text(page: Column) -> Column:
     return repair_ligatures(F.trim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"[ \t]+", " ")))
 
 
+def other_class(url: Column) -> Column:
+    """The class of document that a URL's file name, or else its path, says it is; null for none."""
+    path = F.coalesce(F.try_url_decode(F.replace(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), F.lit("+"), F.lit("%2B"))), F.lit(""))
+    name = F.lower(F.regexp_extract(F.regexp_extract(path, r"([^/]*)\z", 1), f"(?i)({OTHER_NAMES})", 1))
+    return F.when(name != "", name).when(path.rlike(f"(?i)(?:{OTHER_PATHS})"), "press release or index page")
+
+
+def response_kind(body: Column, content_type: Column, url: Column) -> Column:
+    """pdf, binary or text, by the declared type, the address, the first bytes and the share of zeros among 2,048."""
+    declared = F.trim(F.split_part(F.lower(F.coalesce(content_type, F.lit(""))), F.lit(";"), F.lit(1)))
+    pdf = declared.startswith("application/pdf") | F.split_part(F.lower(url), F.lit("?"), F.lit(1)).endswith(".pdf") | (F.substring(body, 1, 5) == F.lit(b"%PDF-"))
+    binary = F.lit(False)
+    for start in BINARY_TYPES:
+        binary = binary | declared.startswith(start)
+    for start in BINARY_STARTS:
+        binary = binary | (F.substring(body, 1, len(start)) == F.lit(start))
+    head = F.substring(body, 1, 2048)
+    zeros = F.length(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[^\x00]", ""))
+    return F.when(pdf, "pdf").when(F.coalesce(binary | (zeros > 0.05 * F.length(head)), F.lit(False)), "binary").otherwise("text")
+
+
+def response_text(body: Column, content_type: Column, url: Column, decode, strip_blocks) -> Column:
+    """Text of an HTML response; empty for binary bodies and for PDF, whose text another reader extracts."""
+    return F.when(response_kind(body, content_type, url) == "text", html_text(strip_blocks(decode(body)))).otherwise("")
+
+
+def visible(text: Column) -> Column:
+    return F.lower(text)
+
+
+def best_copy(text: str, key: str) -> list[Column]:
+    """Aggregates: key and length of the longest text, the first key of equal ones; a null text is the shortest."""
+    best = F.min(F.struct((-F.coalesce(F.length(text), F.lit(-1))).alias("o"), F.col(key).alias("key")))
+    return [best["key"].alias(f"best_{key}"), F.max(F.length(text)).alias("best_chars")]
+
+
 def clean_text(text: Column) -> Column:
-    """Without URLs and references, squeezed, lower case; 'x-tech' spelled out."""
+    """Without URLs, squeezed, lower case; 'x-tech' spelled out. Decode references before (unescape_col): left ones go."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b([a-z]+)-tech\b", "$1 technology")
     return F.lower(squeeze(F.regexp_replace(F.regexp_replace(out, r"https?://\S+|www\.\S+", " "), r"&[a-zA-Z]+;", " ")))
 

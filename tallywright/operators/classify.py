@@ -7,6 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import procedural_shell
+
+#: Classes that go to every task.
+MOST_CLASSES = 10_000
+
 
 def keyword_topic(text: Column, topics: dict[int, list[str]]) -> Column:
     """struct(topic, score): most seeds found by the root of their number; ties to the first topic, none is null.
@@ -37,13 +42,39 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(rows: DataFrame, key: str, vector: str, classes: DataFrame, label: str, least: float = 0.20) -> DataFrame:
-    """key, topic, similarity, margin to the runner-up: the nearest class, null below ``least``; ties to the lower
-    label. classes (label, centroid) are few and go to every task."""
-    r = rows.select(key, unit_vector(F.col(vector)).alias("__v"))
-    pairs = r.crossJoin(F.broadcast(classes)).select(key, label, dot(F.col("__v"), F.col("centroid")).alias("s"))
-    top = pairs.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("s"), (-F.col(label)).alias("o"))), asc=False), 1, 2).alias("t"))
-    s = F.col("t")[0]["s"]
-    return top.select(key, F.when(s >= least, -F.col("t")[0]["o"]).alias("topic"), s.alias("similarity"), (s - F.try_element_at("t", F.lit(2))["s"]).alias("margin"), F.transform("t", lambda x: -x["o"]).alias("top2"))
+    """key, topic, similarity, margin to the runner-up, top2: the nearest class, null below ``least``; ties to the lower
+    label. classes (label, centroid) are at most MOST_CLASSES, more are an error: they go to every task as one array, and
+    each row is scored where it is. Rows that repeat a key stay apart."""
+    few = classes.limit(MOST_CLASSES + 1).agg(F.collect_list(F.struct(F.col(label).alias("o"), F.col("centroid").alias("v"))).alias("__classes"))
+    few = few.select(F.when(F.size("__classes") <= MOST_CLASSES, F.col("__classes")).otherwise(F.raise_error(F.lit(f"more than {MOST_CLASSES} classes"))).alias("__classes"))
+    r = rows.select(key, unit_vector(F.col(vector)).alias("__v")).crossJoin(F.broadcast(few))
+    scored = F.transform("__classes", lambda c: F.struct(dot(F.col("__v"), c["v"]).alias("s"), (-c["o"]).alias("o")))
+    top = r.select(key, F.slice(F.sort_array(scored, asc=False), 1, 2).alias("t"))
+    first, second = (F.try_element_at("t", F.lit(i)) for i in (1, 2))
+    return top.select(key, F.when(first["s"] >= least, -first["o"]).alias("topic"), first["s"].alias("similarity"), (first["s"] - second["s"]).alias("margin"), F.transform("t", lambda x: -x["o"]).alias("top2"))
+
+
+def classify_titles(items: DataFrame, scored: DataFrame, least_chars: int = 20) -> DataFrame:
+    """The items with topic, similarity and procedural_shell. items: id, unit, title and more; scored: id, topic,
+    similarity of a classifier. Titles below ``least_chars`` characters, untrimmed, and procedural shells stay without a
+    topic and get similarity 0."""
+    shell = procedural_shell(F.col("title"), F.col("unit"))
+    usable = (F.length(F.coalesce("title", F.lit(""))) >= least_chars) & ~shell
+    out = items.join(scored.select("id", F.col("topic").alias("__t"), F.col("similarity").alias("__s")), "id", "left")
+    out = out.withColumns({"topic": F.when(usable, F.col("__t")), "similarity": F.round(F.when(usable, F.coalesce("__s", F.lit(0.0))).otherwise(F.lit(0.0)), 4), "procedural_shell": shell})
+    return out.drop("__t", "__s")
+
+
+def topic_counts(classified: DataFrame) -> DataFrame:
+    """unit, grp, year, topic and n of classified items."""
+    return classified.filter("topic IS NOT NULL").groupBy("unit", "grp", "year", "topic").agg(F.count("*").alias("n"))
+
+
+def coverage(classified: DataFrame) -> DataFrame:
+    """Per unit and group: items, procedural shells, the rest, those with a topic, and their share (0 of none)."""
+    shell = F.col("procedural_shell")
+    c = classified.groupBy("unit", "grp").agg(F.count("*").alias("n_attributed"), F.count_if(shell).alias("n_procedural"), F.count_if(~shell).alias("n_substantive"), F.count_if(~shell & F.col("topic").isNotNull()).alias("n_classified"))
+    return c.withColumn("rate", F.coalesce(F.col("n_classified") / F.nullif(F.col("n_substantive"), F.lit(0)), F.lit(0.0)))
 
 
 def agreement(scored: DataFrame) -> DataFrame:

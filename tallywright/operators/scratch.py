@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallywright.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tallywright-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("tallywright.scratch", found)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.kernels import unescape_col
 
 TOKEN = r"\b([a-z][a-z'-]{2,})\b"
 
@@ -13,7 +14,7 @@ TOKEN = r"\b([a-z][a-z'-]{2,})\b"
 def ngrams(docs: DataFrame, stop_words: list[str], keep: list[str]) -> DataFrame:
     """keep, term, n: unigrams and bigrams of each document, bigrams bridging stop words. docs: keep, text."""
     stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    words = F.filter(F.regexp_extract_all(T.clean_text(F.col("text")), F.lit(TOKEN), F.lit(1)), lambda w: ~F.array_contains(stops, w))
+    words = F.filter(F.regexp_extract_all(T.clean_text(unescape_col(F.col("text"))), F.lit(TOKEN), F.lit(1)), lambda w: ~F.array_contains(stops, w))
     d = docs.select(*keep, words.alias("w")).withColumn("b", F.zip_with(F.slice(F.col("w"), 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice(F.col("w"), 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y)))
     return d.select(*keep, F.explode(F.concat("w", "b")).alias("term")).groupBy(*keep, "term").agg(F.count("*").alias("n"))
 

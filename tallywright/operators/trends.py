@@ -27,8 +27,10 @@ def sign_flip(values: np.ndarray, seed: int, draws: int = 10_000) -> float:
         return 1.0
     rng = np.random.default_rng(seed)
     observed, extreme = abs(float(np.mean(values))), 0
-    signs = rng.choice((-1, 1), size=(draws, len(values)))
-    extreme = np.count_nonzero(np.abs((signs * values).mean(axis=1)) >= observed)
+    block = max(1, 1_000_000 // len(values))  # signs in memory at a time
+    for first in range(0, draws, block):
+        signs = rng.choice((-1, 1), size=(min(block, draws - first), len(values)))
+        extreme += np.count_nonzero(np.abs((signs * values).mean(axis=1)) >= observed)
     return float((1 + extreme) / (draws + 1))
 
 

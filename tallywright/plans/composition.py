@@ -196,7 +196,7 @@ def unit_trends(spark, d):
 @query()
 def group_trends(spark, d):
     """ST1, ST3, WN12: the whole trend table with sign-flip p-values."""
-    return trends.group_trends(counts(spark, d), EARLY, LATE, 5, 20_260_731, 2_000)
+    return trends.group_trends(counts(spark, d), EARLY, LATE, 5, 20_260_731, 10_000)
 
 
 @query()
@@ -209,4 +209,4 @@ def outliers_beyond_sampling(spark, d):
 @query()
 def dispersion_gap(spark, d):
     """ST5: label-permutation test of the dispersion gap."""
-    return trends.dispersion_gap(vec(spark, d), 20_260_729, 1_000)
+    return trends.dispersion_gap(vec(spark, d), 20_260_729, 5_000)

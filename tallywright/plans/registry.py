@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, composition, reports, text  # noqa: F401  (they register their queries)
+from . import attribution, composition, files, reports, text, topics  # noqa: F401  (they register their queries)
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

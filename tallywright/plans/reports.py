@@ -74,11 +74,17 @@ def atlas(spark, d):
     return rounded(out, "overemphasis")
 
 
-@query(f"""WITH {DENSE} SELECT unit, round(max(share) FILTER (category = '1-URGENT'), 6) AS urgent, round(max(share) FILTER (category = '2-HIGH'), 6) AS high, round(max(share) FILTER (category = '5-LOW'), 6) AS low FROM vec WHERE grp = 'F' GROUP BY unit""")
+@query(f"""WITH {DENSE}, f AS (SELECT unit, category, share FROM vec WHERE grp = 'F'), m AS (SELECT category, CAST(row_number() OVER (ORDER BY round(avg(share), 9) DESC, category) AS INT) AS position FROM f GROUP BY category)
+SELECT n_name AS unit, category, position, round(share, 6) AS share FROM nation CROSS JOIN m LEFT JOIN f USING (category) WHERE f.unit = n_name
+UNION ALL SELECT n_name, category, position, NULL FROM nation CROSS JOIN m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.unit = n_name AND f.category = m.category)""")
 def unit_matrix(spark, d):
-    """FP1, RS1: units by categories."""
-    w = vec(spark, d).filter("grp = 'F'").groupBy("unit").pivot("category", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.max("share"))
-    return rounded(w.select("unit", F.col("`1-URGENT`").alias("urgent"), F.col("`2-HIGH`").alias("high"), F.col("`5-LOW`").alias("low")), "urgent", "high", "low")
+    """FP1, FP8: every unit by every category, categories in order of their mean share; null where a unit has no vector."""
+    from pyspark.sql import Window
+
+    f = vec(spark, d).filter("grp = 'F'").select("unit", "category", "share")
+    m = f.groupBy("category").agg(F.avg("share").alias("s")).withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.round("s", 9)), "category"))).drop("s")
+    grid = table(spark, d, "nation").select(F.col("n_name").alias("unit")).crossJoin(F.broadcast(m))  # units by categories, the matrix itself
+    return rounded(grid.join(f, ["unit", "category"], "left"), "share")
 
 
 @query(f"""WITH {DENSE}, m AS (SELECT grp, category, avg(share) AS s FROM vec GROUP BY ALL), n AS (SELECT grp, category, sum(n)::BIGINT AS n FROM major GROUP BY ALL)
@@ -93,17 +99,17 @@ def figure_rows(spark, d):
     return rounded(g.select("grp", "category", "share", (F.col("n") < 1000).alias("unreliable"), F.rank().over(w).alias("position")), "share")
 
 
-@query(f"""WITH {COUNTS} SELECT unit, max(yr) FILTER (category = '5-LOW' AND grp = 'P') AS latest, 2001 - coalesce(max(yr) FILTER (category = '5-LOW' AND grp = 'P'), 1900) AS age FROM counts GROUP BY unit""")
+@query(f"""WITH {COUNTS} SELECT unit, grp, category, max(yr) FILTER (n >= 2) AS latest, 2001 - coalesce(max(yr) FILTER (n >= 2), 1900) AS age FROM counts GROUP BY ALL""")
 def recency(spark, d):
-    """FP6: latest year of each unit; units without one are the oldest."""
-    c = counts(spark, d).groupBy("unit").agg(F.max(F.when((F.col("category") == "5-LOW") & (F.col("grp") == "P"), F.col("yr"))).alias("latest"))
+    """FP6: latest year with two or more; what has none is the oldest."""
+    c = counts(spark, d).groupBy("unit", "grp", "category").agg(F.max(F.when(F.col("n") >= 2, F.col("yr"))).alias("latest"))
     return c.withColumn("age", F.lit(2001) - F.coalesce("latest", F.lit(1900)))
 
 
 @query()
 def significant_trends(spark, d):
     """FP4: categories whose change is significant."""
-    return trends.group_trends(counts(spark, d), [1995, 1996], [1999, 2000], 5, 20_260_731, 1_000).filter("q_value < 0.5").select("grp", "category", "change", "q_value")
+    return trends.group_trends(counts(spark, d), [1995, 1996], [1999, 2000], 5, 20_260_731, 10_000).filter("q_value < 0.5").select("grp", "category", "change", "q_value")
 
 
 NAMES = {"Virginia": "VA", "West Virginia": "WV", "Texas": "TX", "New York": "NY", "Hawaii": "HI"}

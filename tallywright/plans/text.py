@@ -74,11 +74,9 @@ def redundant_documents(spark, d):
 @query(r"""WITH f AS (SELECT doc_id, source, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM documents) SELECT doc_id, source, first_value(doc_id) OVER w AS first_id, row_number() OVER w = 1 AS kept FROM f WINDOW w AS (PARTITION BY source, h ORDER BY doc_id)""")
 def fingerprint_copies(spark, d):
     """CL6, SF33: equal texts within a group; the first stays."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source", "h").orderBy("doc_id")
     f = table(spark, d, "documents").select("doc_id", "source", T.fingerprint(F.col("text")).alias("h"))
-    return f.select("doc_id", "source", F.first("doc_id").over(w).alias("first_id"), (F.row_number().over(w) == 1).alias("kept"))
+    first = f.groupBy("source", "h").agg(F.min("doc_id").alias("first_id"))
+    return f.join(first, ["source", "h"]).select("doc_id", "source", "first_id", (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
 @query(r"""WITH n AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^(?:www\.|archive\.)', '') || lower(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/index\.html?$', '/', 'i'), '/+$', '')) AS key FROM pages)
@@ -359,10 +357,12 @@ WHEN length(split_part(acc, chr(30), -1)) + length(x) + (split_part(acc, chr(30)
 THEN CASE WHEN split_part(acc, chr(30), -1) = '' THEN '' ELSE ' ' END || x || chr(30) ELSE CASE WHEN split_part(acc, chr(30), -1) = '' THEN '' ELSE ' ' END || x END), chr(30))"""
 
 
-@query(rf"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+')) AS words, {statements_sql(PARAGRAPHS)} AS own FROM documents WHERE text <> ''),
+UNITS = rf"""t AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+')) AS words, {statements_sql(PARAGRAPHS)} AS own FROM documents WHERE text <> ''),
 a AS (SELECT doc_id, own, CASE WHEN words > 500 AND len(own) * 500 < words THEN {statements_sql(JOINED)} END AS again FROM t),
-c AS (SELECT doc_id, CASE WHEN len(again) > len(own) THEN again ELSE own END AS u FROM a)
-SELECT doc_id, (generate_subscripts(u, 1) - 1)::INT AS unit_index, unnest(u) AS unit FROM c""")
+c AS (SELECT doc_id, CASE WHEN len(again) > len(own) THEN again ELSE own END AS u FROM a)"""
+
+
+@query(f"WITH {UNITS} SELECT doc_id, (generate_subscripts(u, 1) - 1)::INT AS unit_index, unnest(u) AS unit FROM c")
 def document_units(spark, d):
     """UD1, UD8: statements that each document is made of."""
     found = S.with_statements(table(spark, d, "documents").select("doc_id", "text"), "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,11 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, wh
     return df.select(*columns) if columns else df
 
 
+def sizes(df: DataFrame, name: str) -> DataFrame:
+    """name, n_rows and n_columns; the count reads no column, so Parquet answers it from its footers."""
+    return df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"))
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
@@ -62,30 +68,34 @@ def _unescape(p: Column, mark: str) -> Column:
 
 
 def copy_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every COPY section of text dumps, each file with the sections in order; one table a name.
+    """Every COPY section of text dumps as a table, by name; sections of one name are one table.
 
-    A file is read by one task from end to end, as its sections can only be told apart in order; a dump of
-    many files is read in parallel.
+    A dump of any size is read in splits. A line's place is its split's start and its number in the split; only the
+    lines that open or end a section come to the driver, a few for each table, and tell which places a section
+    spans. What looks like an opening inside a section is one of its rows.
     """
-    head = r"COPY ([^ (]+)[^(]*\(([^)]*)\) FROM stdin;"
-
-    def sections(batches):
-        for pdf in batches:
-            for body in pdf["value"]:
-                name, names, rows = None, None, []
-                for line in body.split("\n"):
-                    m = re.match(head, line) if name is None else None
-                    if m:
-                        name, names = m[1], [c.strip().strip('"') for c in m[2].split(",")]
-                    elif line == "\\.":
-                        name = None
-                    elif name is not None:
-                        rows.append((name, names, line))
-                yield pd.DataFrame(rows, columns=["name", "names", "value"])
-
-    every = spark.read.text(path, wholetext=True).mapInPandas(sections, "name string, names array<string>, value string")
-    found = every.select("name", "names").distinct().collect()
-    return {r.name: copy_rows(every.filter(F.col("name") == r.name), list(r.names)) for r in found}
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("at"))
+    head = r"^COPY ([^ (]+)[^(]*\(([^)]*)\) FROM stdin;$"
+    sections: dict[tuple, list] = {}
+    start = None
+    for r in sorted(lines.filter(F.col("value").rlike(head) | (F.col("value") == "\\.")).collect(), key=lambda r: tuple(r["at"])):
+        place = tuple(r["at"])
+        if start and start[1][0] != place[0]:
+            start = None
+        if r.value == "\\." and start:
+            sections.setdefault(start[0], []).append((start[1], place))
+            start = None
+        elif r.value != "\\." and start is None:
+            m = re.match(head, r.value)
+            start = (m[1], tuple(c.strip().strip('"') for c in m[2].split(","))), place
+    spot = lambda p: F.struct(F.lit(p[0]).alias("file"), F.lit(p[1]).cast("long").alias("start"), F.lit(p[2]).cast("long").alias("line"))
+    out = {}
+    for (name, names), spans in sections.items():
+        inside = reduce(lambda x, y: x | y, [(F.col("at") > spot(a)) & (F.col("at") < spot(b)) for a, b in spans])
+        part = copy_rows(lines.filter(inside), list(names))
+        out[name] = out[name].unionByName(part) if name in out else part
+    return out
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
@@ -110,5 +120,5 @@ def parse_filename(name: Column) -> Column:
     pattern = r"^([A-Z]{2})-(\d{4})-(.+)$"
     rest = F.split(F.regexp_extract(stem, pattern, 3), "-")
     ok = stem.rlike(pattern) & (F.trim(rest[0]) != "")
-    parsed = F.struct(F.regexp_extract(stem, pattern, 1).alias("state"), F.regexp_extract(stem, pattern, 2).cast("int").alias("year"), F.trim(rest[0]).alias("party"), F.filter(F.transform(F.slice(rest, 2, F.size(rest)), F.trim), lambda f: f != "").alias("flags"))
+    parsed = F.struct(F.regexp_extract(stem, pattern, 1).alias("state"), F.regexp_extract(stem, pattern, 2).cast("int").alias("year"), F.trim(rest[0]).alias("party"), F.filter(F.transform(F.slice(rest, 2, F.size(rest)), lambda f: F.trim(f)), lambda f: f != "").alias("flags"))
     return F.when(ok, parsed).otherwise(F.raise_error(F.concat(F.lit("unparseable filename: "), name)).cast("struct<state:string,year:int,party:string,flags:array<string>>"))
