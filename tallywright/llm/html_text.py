@@ -5,13 +5,15 @@ and length; blocks too short or too plain to decide stay open. In the second pas
 label of its nearest decided neighbours; what no neighbour decides goes by whether an article holds it. Stop
 words speak against a block only where the page is in their languages, and a page without an article and
 without a block decided as text keeps all that is open.
-The scan is linear in the page, whatever is left unclosed.
+The scan is linear in the page, whatever is left unclosed: open elements are counted, never searched.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -30,7 +32,9 @@ BLOCKS = frozenset(
     frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section
     summary table tbody td tfoot th thead title tr ul""".split()
 )
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg object canvas audio video select annotation annotation-xml".split())
+# Of these, left unclosed, the rest of the page is their contents; of the others only the tag goes.
+SWALLOWING = frozenset("script style textarea xmp noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav footer aside form head dialog menu button search".split())
 NAMES = frozenset(
@@ -42,6 +46,7 @@ NAMES = frozenset(
 )
 # Words that say where such a part is, not what it holds.
 PLACES = frozenset("area bar block bottom box button buttons container global inner left link links list main mobile outer primary right secondary section site slot sticky top unit wrap wrapper".split())
+ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAX_LINKS, STOP_HIGH, STOP_LOW, LONG, SHORT = 0.4, 0.25, 0.1, 160, 60
 
@@ -54,6 +59,11 @@ _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
+@functools.lru_cache(64)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*>?", re.I)
+
+
 def _attrs(attrs: str) -> list[tuple[str, str]]:
     return [(name.lower(), value.strip("\"'")) for name, value in _ATTR.findall(attrs)]
 
@@ -85,7 +95,10 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = 0  # characters inside links of the open block
     stack: list[tuple[str, bool]] = []  # open block elements and whether what they hold is outside
-    in_link, gone = False, set()
+    opened: Counter[str] = Counter()  # of these, how many by name, and how many
+    n_outside = n_article = n_heading = 0  # are outside, articles, and headings
+    in_link, gone, unclosed = False, set(), set()
+    last_close: dict[str, int] = {}
     spans, depth = False, 0  # whether the open link is closed by its own tag, and the elements that hold it
     at, end = 0, len(page)
 
@@ -93,8 +106,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            held = any(name in ("article", "main") for name, _ in stack)
-            out.append(Block(joined, min(linked, len(joined)), any(o for _, o in stack), held, any(n in HEADINGS for n, _ in stack)))
+            out.append(Block(joined, min(linked, len(joined)), n_outside > 0, n_article > 0, n_heading > 0))
         text.clear()
         linked = 0
 
@@ -106,6 +118,24 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(" ".join(piece.split()))
 
+    def push(name: str, outside: bool) -> None:
+        nonlocal n_outside, n_article, n_heading
+        stack.append((name, outside))
+        opened[name] += 1
+        n_outside, n_article, n_heading = n_outside + outside, n_article + (name in ARTICLES), n_heading + (name in HEADINGS)
+
+    def pop() -> str:
+        nonlocal n_outside, n_article, n_heading
+        name, outside = stack.pop()
+        opened[name] -= 1
+        n_outside, n_article, n_heading = n_outside - outside, n_article - (name in ARTICLES), n_heading - (name in HEADINGS)
+        return name
+
+    def closes_later(name: str, at: int) -> bool:
+        if name not in last_close:
+            last_close[name] = max((m.start() for m in re.finditer(rf"</{name}\b", page, re.I)), default=-1)
+        return last_close[name] >= at
+
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -153,38 +183,41 @@ def blocks(page: str) -> list[Block]:
         elif name in RAW and not closing:
             if name in BLOCKS:
                 flush()
-            if not attrs.endswith("/"):
-                if name in gone:
+            if not attrs.endswith("/") and name not in unclosed:
+                over = _closing(name).search(page, at)
+                if over:
+                    at = over.end()
+                elif name in SWALLOWING:
                     break
-                over = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = over.end() if over else end
+                else:
+                    unclosed.add(name)
         elif name in BLOCKS or (name not in VOID and not closing and attrs and _named_outside(attrs)):
             flush()
             in_link = in_link and spans
             if closing:
-                if any(n == name for n, _ in stack):
-                    while stack.pop()[0] != name:
+                if opened[name]:
+                    while pop() != name:
                         pass
                     in_link = in_link and len(stack) >= depth
             elif name not in VOID:
                 if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADINGS:
                     if stack and (stack[-1][0] == name or stack[-1][0] == "p"):
-                        stack.pop()
+                        pop()
                 elif name in BLOCKS and stack and stack[-1][0] == "p":
-                    stack.pop()
+                    pop()
                 in_link = in_link and len(stack) >= depth
-                inside = any(n in ("article", "main") for n, _ in stack)
+                inside = n_article > 0
                 named = 0 if name in ("body", "html", "main") else _named_outside(attrs)
                 outside = name in OUTSIDE or (name == "header" and not inside) or named > inside
-                if name in ("article", "main") and not outside:
+                if name in ARTICLES and not outside:
                     # an element left open before the article doesn't hold it
-                    while stack and stack[-1][1] and stack[-1][0] in OUTSIDE and not re.compile(rf"</{stack[-1][0]}\b", re.I).search(page, at):
-                        stack.pop()
+                    while stack and stack[-1][1] and stack[-1][0] in OUTSIDE and not closes_later(stack[-1][0], at):
+                        pop()
                 if not attrs.endswith("/"):
-                    stack.append((name, outside))
-        elif closing and any(n == name for n, _ in stack):
+                    push(name, outside)
+        elif closing and opened[name]:
             flush()
-            while stack.pop()[0] != name:
+            while pop() != name:
                 pass
     flush()
     return out
@@ -257,8 +290,9 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns, text and n_chars (code points) of every page.
 
-    A null or empty page, or one without main text, has an empty text. Repeated rows stay; an empty table gives
-    an empty result; other columns are ignored.
+    A null or empty page, or one without main text, has an empty text. A page of any length is scanned whole, in
+    linear time. Repeated rows stay, each with the same text, so there are no ties; an empty table gives an empty
+    result; other columns are ignored, whatever their names, but ``keep`` may hold neither text nor n_chars.
     """
     types = dict(pages.dtypes)
     slim = pages.select(*[f"`{c}`" for c in keep], f"`{html_col}`")

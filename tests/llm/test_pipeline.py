@@ -31,7 +31,8 @@ def corpus(spark, tmp_path_factory):
 def test_stages(spark, corpus, monkeypatch):
     d, toxic = corpus
     small = toxicity.Settings(steps=60, batch=48, bits=11)
-    monkeypatch.setattr(pipeline, "fit", lambda docs, labels: toxicity.fit(docs, labels, small))
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: fit(docs, labels, small))
     docs = spark.read.parquet(f"{d}/documents.parquet")
     kept = pipeline.toxicity(spark, docs, d).cache()
     ids = {r.doc_id for r in kept.collect()}
@@ -45,6 +46,45 @@ def test_stages(spark, corpus, monkeypatch):
     assert mixed.columns == docs.columns and mixed.count() == mixing.fair_mix(clean).agg({"copies": "sum"}).first()[0]
     sharded = pipeline.sharding(spark, mixed, d)
     assert sharded.count() == mixed.count() and sharded.agg({"shard": "max"}).first()[0] < pipeline.SHARDS
+    assert sharded.columns == [*docs.columns, "size", "shard", "slot"]
+    key = lambda r: tuple(str(r[c]) for c in docs.columns)
+    assert sorted(map(key, sharded.collect())) == sorted(map(key, mixed.collect()))
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, held_out string, id string, mix int, size string, shard int, slot int, `a.b` string, key string, `__id` int, `__n` int"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_every_stage_takes_any_columns_repeats_and_nothing(spark, corpus, monkeypatch, name):
+    d, _ = corpus
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: None)
+    stage = dict(pipeline.STAGES)[name]
+    more = (0.5, 1, "h", "i", 3, "s", 1, 2, "ab", "k", 4, 5)
+    texts = [("one two three four five six seven", "s0"), ("another text of words that is not the same", "s1"), (None, None), ("", "s1"), ("word " * 200_000, "s0")]
+    rows = [(i, t, "en", s, 1, *more) for i, (t, s) in enumerate(texts)] + [(0, texts[0][0], "en", "s0", 1, *more), (None, "null id has a text of its own here", None, None, None, *more)]
+    docs = spark.createDataFrame(rows, CLASHES)
+    out = stage(spark, docs, d)
+    added = ["size_", "shard_", "slot_"] if name == "sharding" else []
+    assert out.columns == [*docs.columns, *added]
+    got = out.collect()
+    ids = {r.doc_id for r in got}
+    assert ids >= {1, 4} and all(tuple(r)[5:17] == more for r in got)
+    if name == "near_duplicates":
+        assert len(got) == 6
+    elif name != "mixing":
+        assert len(got) == 7
+    assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_run_is_its_stages(spark, corpus, monkeypatch):
+    d, _ = corpus
+    small, fit = toxicity.Settings(steps=40, batch=48, bits=11), toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: fit(docs, labels, small))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, d).cache()
+    want = sorted((str(r.doc_id), str(r.text), r.size) for r in docs.collect())
+    assert sorted((str(r.doc_id), str(r.text), r.size) for r in pipeline.run(spark, d).collect()) == want
 
 
 def test_queries_are_registered():

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 import re
 from collections import Counter
 
@@ -113,6 +114,38 @@ def test_hostile_pages_are_linear(bad):
     html_text.main_text(bad + "<article><p>text</article>")
 
 
+@pytest.mark.parametrize("part", ["<div>x", "<nav><article>x", "<svg>x<video>", "<p class='a'>x<a href=x>y", "<b class='ad'>x", "<form><main><h2>x"])
+def test_twice_the_page_takes_twice_the_time(part):
+    html_text.main_text(part * 2_000)
+    took = []
+    for n in (10_000, 20_000, 40_000):
+        began = time.process_time()
+        html_text.main_text(part * n)
+        took.append(time.process_time() - began)
+    assert took[2] <= 3.5 * took[1] + 0.2 and took[1] <= 3.5 * took[0] + 0.2
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "share-price", "content-header", "related-work"])
+def test_wrappers_keep_their_article(name):
+    assert html_text.main_text(f"<body><div class='{name}'><article><h1>Title</h1><p>{LONG_TEXT}</p></article></div></body>") == "Title\n" + LONG_TEXT.strip()
+
+
+def test_formulas_stay_and_unclosed_media_take_nothing_along():
+    assert html_text.main_text("<article><p>We have <math><mi>x</mi>=<mn>2</mn></math> here.</p></article>") == "We have x=2 here."
+    for tag in ("video", "audio", "svg", "select", "object"):
+        assert LONG_TEXT.strip() in html_text.main_text(f"<article><p>Start.</p><{tag}><p>{LONG_TEXT}</p></article>")
+
+
+def test_extract_pages(spark):
+    rows = [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "", "t"), (4, "w", "<article><p>" + "x " * 600_000 + "</p></article>", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT_ string")
+    got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_pages(d).fillna("", ["url"]).collect())
+    want = html_text.main_text(PAGE)
+    assert got[:4] == [(1, "u", want, len(want))] * 2 + [(2, "", "", 0), (3, "v", "", 0)] and got[4][3] == 2 * 600_000 - 1
+    clash = spark.createDataFrame([(1, "u", PAGE, 5)], "page_id long, url string, html string, text int")
+    assert html_text.extract_pages(clash).first().text == want and html_text.extract_pages(d.limit(0)).count() == 0
+
+
 def brute_repeats(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
@@ -191,6 +224,58 @@ def test_a_run_is_found_wherever_words_are_substituted(spark):
         assert all(any(not p & z for p in fit) for z in (sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)))
 
 
+def test_overlaps_against_every_diagonal():
+    """Brute force: every item laid over every place of a text."""
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (5, 8, 13, 14, 16, 20, 30) for _ in range(3)]
+    texts = []
+    for _ in range(150):
+        w = [r.choice(vocabulary) for _ in range(r.randint(0, 30))]
+        if r.random() < 0.8:
+            held = r.choice(items).split()
+            for _ in range(r.randint(0, 4)):
+                held[r.randrange(len(held))] = r.choice(vocabulary + ["new"])
+            a = r.randrange(len(held))
+            w[len(w) // 2 : len(w) // 2] = held[a if r.random() < 0.3 else 0 :]
+        texts.append(" ".join(w))
+    block = decontam.Benchmark(list(range(len(items))), decontam.words_of(items))
+    for text, words in zip(texts, decontam.words_of(texts), strict=True):
+        want = set()
+        for k, item in enumerate(block.words):
+            for d in range(-len(item) + 1, len(words)):
+                a, b = max(0, -d), min(len(item), len(words) - d)
+                if decontam.best_run(item[a:b] == words[a + d : b + d])[0] >= block.need(k):
+                    want.add(k)
+        assert {o["item_id"] for o in block.overlaps(words)} == want, text
+
+
+def test_short_and_empty_items(spark):
+    d = spark.createDataFrame([(1, "Yes!"), (2, "yes we can"), (3, "no"), (4, None), (5, ""), (6, "!?")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "yes"), (2, None), (3, ""), (4, "?!"), (5, "we can do")], "item_id int, text string")
+    assert sorted((x.doc_id, x.item_id) for x in decontam.find_overlaps(d, b).collect()) == [(1, 1), (2, 1)]
+    assert sorted(x.doc_id for x in decontam.clean_rows(d, b).collect()) == [3, 4, 5, 6]
+
+
+def test_texts_and_items_of_one_word_over_and_over(monkeypatch):
+    monkeypatch.setattr(decontam, "PLACEMENTS", 1000)
+    words = decontam.words_of(["x " * 4000, "x " * 300])
+    block = decontam.Benchmark([7], [words[1]])
+    found = block.overlaps(words[0])
+    assert [(o["item_id"], o["matched"]) for o in found] == [(7, 300)]
+
+
+def test_rows_of_decontamination(spark):
+    long = " ".join(f"u{i}" for i in range(300_000))
+    item = " ".join(f"w{i}" for i in range(20))
+    d = spark.createDataFrame([(1, long, 5, "a"), (2, f"{long} {item}", 5, "b"), (2, f"{long} {item}", 5, "b"), (3, None, 5, None)], "doc_id long, text string, matched int, ITEM_ID_ string")
+    b = spark.createDataFrame([(1, item, "x"), (2, item, "y")], "item_id int, text string, doc_id string")
+    assert sorted((x.doc_id, x.item_id, x.matched) for x in decontam.find_overlaps(d, b).collect()) == [(2, 1, 20)] * 2 + [(2, 2, 20)] * 2
+    kept = decontam.clean_rows(d, b)
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [1, 3]
+    assert decontam.clean_rows(d.limit(0), b).count() == 0 and decontam.clean_rows(d, b.limit(0)).count() == 4 and decontam.find_overlaps(d, b.limit(0)).count() == 0
+
+
 def test_best_run_against_all_runs():
     r = random.Random(8)
     for _ in range(300):
@@ -249,6 +334,60 @@ def test_windows_reach_every_word():
         assert covered == set(range(n))
 
 
+def test_long_texts_have_the_windows_of_the_whole(monkeypatch):
+    s = toxicity.Settings(window=10, stride=7)
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abé ,.") for _ in range(r.randint(1, 9))) for _ in range(900))
+
+    def windows(parts):
+        out = []
+        for part in parts:
+            w = toxicity.Words(part)
+            data = b" " + part
+            names = [data[a:b] for a, b in zip(w.start, w.end, strict=True)]
+            out += [tuple(names[a : a + s.window]) for a in toxicity.window_starts(len(names), s)]
+        return out
+
+    whole = windows(toxicity.pieces(text, s))
+    assert len(toxicity.pieces(text, s)) == 1
+    monkeypatch.setattr(toxicity, "CHUNK", 400)
+    parts = toxicity.pieces(text, s)
+    assert len(parts) > 10 and windows(parts) == whole
+    assert b"".join(toxicity.pieces("x" * 2_000, s)) == b"x" * 2_000
+
+
+def test_long_labelled_texts_are_learnt_from_too(spark):
+    texts = list(toxic_texts(120, 4))
+    long = [(t + " ") * 12 for t, _ in texts]
+    d = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in enumerate(long)], "doc_id long, text string, score int, predicted int, held_out string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    s = toxicity.Settings(steps=60, batch=48, bits=11, longest=2_000)
+    net = toxicity.fit(d, labels, s)
+    assert net is not None
+    kept = toxicity.clean_rows(d, net)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == d.columns and sum((i in ids) == (not y) for i, (_, y) in enumerate(texts)) >= 110
+    assert toxicity.score_toxicity(d, net).count() == 120 and toxicity.clean_rows(d.limit(0), net).count() == 0
+
+
+def test_the_network_beats_the_counts_it_starts_from():
+    """Words that are toxic only after another one: no count of words tells, reading in order does."""
+    r = random.Random(12)
+
+    def texts(n):
+        for _ in range(n):
+            y = r.random() < 0.5
+            w = [r.choice(["ba", "du", "ke", "lo", "mi", "nu"]) for _ in range(r.randint(8, 24))]
+            at = r.randrange(len(w) - 1)
+            w[at : at + 2] = ["zork", "vim"] if y else ["vim", "zork"]
+            yield " ".join(w), int(y)
+
+    train, held = list(texts(500)), list(texts(200))
+    net = toxicity.train(*map(list, zip(*train, strict=True)), toxicity.Settings(steps=400, batch=64, bits=11))
+    got = np.array(toxicity.score_texts(net, [t for t, _ in held])) >= 0.5
+    assert (got == np.array([y for _, y in held])).mean() >= 0.9
+
+
 def test_toxicity_rows(spark):
     d = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (2, None, "x")], "doc_id long, text string, score string")
     out = toxicity.score_toxicity(d, None).collect()
@@ -266,6 +405,36 @@ def test_ledger_is_idempotent_and_additive(spark):
     assert got == {("a", "v1"): (1, 5), (None, "v2"): (1, 1)} and ledger.batches().count() == 3
 
 
+def test_no_writer_is_lost(spark):
+    root = Scratch(spark, "t").root
+    ledger, other = rollup.TokenLedger(spark, root), rollup.TokenLedger(spark, root)
+    c = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer string, tokens long")
+    publish, calls = ledger._publish, []
+
+    def late(held, name):
+        if not calls:
+            calls.append(other.commit("theirs", rollup.signed(c, 1)))  # between reading and publishing
+        return publish(held, name)
+
+    ledger._publish = late
+    assert ledger.commit("ours", rollup.signed(c, 1)) and calls == [True] and ledger.version() == 2
+    assert ledger.totals().first().n_tokens == 10 and sorted(r.batch for r in ledger.batches().collect()) == ["ours", "theirs"]
+    assert sorted((r.version, r.batch, r.n_tokens) for r in ledger.history().collect()) == [(1, "theirs", 5), (2, "ours", 10)]
+    names = [s.getPath().getName() for s in ledger.fs.listStatus(ledger._path("."))]
+    assert sorted(names) == ["v1", "v2"]
+
+
+def test_maintain(spark):
+    rows = [(1, "a b", "s", "en", 1), (2, "a b", "t", "en", 1), (2, "a b", "t", "en", 1), (3, None, None, None, 1), (4, None, "s", "en", 1), (5, "", "s", "en", 1), (6, "x " * 300_000, "s", "en", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
+    ledger = rollup.TokenLedger(spark, Scratch(spark, "t").root)
+    got = {(r.version, r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.maintain(d, ledger).collect()}
+    assert got[1, "s", "words-1"] == (4, 300_002) and got[1, "t", "words-1"] == (2, 4) and got[1, None, "bytes-1"] == (1, 0)
+    assert got[2, "s", "words-1"] == (3, 300_002) and (2, "t", "words-1") not in got and got[3, "s", "words-2"] == (3, 300_002) and (3, "s", "words-1") not in got
+    empty = rollup.TokenLedger(spark, Scratch(spark, "t").root)
+    assert rollup.maintain(d.limit(0), empty).count() == 0 and empty.version() == 3
+
+
 def test_a_batch_that_died_before_its_rename_changes_nothing(spark):
     ledger = rollup.TokenLedger(spark, Scratch(spark, "t").root)
     c = spark.createDataFrame([("a", "en", "v1", 5)], "source string, lang string, tokenizer string, tokens long")
