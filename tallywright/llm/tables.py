@@ -23,6 +23,22 @@ def free(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def keep_rows(df: DataFrame, column: str, wanted) -> DataFrame:
+    """The rows, as they are and with all their columns, that ``wanted`` says True of; it gets lists of ``column``."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                yield part.filter(pa.array(wanted(part.column(at).to_pylist()), pa.bool_()))
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` gets each Arrow batch as a dict of lists and yields dicts of lists for ``schema``."""
     import pyarrow as pa

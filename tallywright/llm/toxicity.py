@@ -5,8 +5,8 @@ that spellings and endings never seen still tell. Both directions read windows o
 pools the states of a window into one logit. Every window of every whole text is scored, and a text's score
 is that of its worst window.
 
-Training takes a bounded sample of labelled rows (``Settings.sample`` of each label, texts of at most
-``Settings.longest`` characters, chosen by the hash of their id). A toxic text need not be toxic throughout,
+Training takes a bounded sample of labelled rows: ``Settings.sample`` of each label, chosen by the hash of their id,
+and of a text of more than ``Settings.longest`` characters as many from eight stretches spread over it. A toxic text need not be toxic throughout,
 so its most suspicious windows stand for it; suspicion, which also starts the embeddings, is how much more
 often a word or four-gram occurs in toxic training texts.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
-from .tables import map_rows
+from .shingles import _INVERSE, _M, _powers
+from .tables import keep_rows, map_rows
 
 
 @dataclasses.dataclass(frozen=True)
@@ -38,24 +39,15 @@ class Settings:
     seed: int = 5
 
 
-#: Bytes of text that one pass of the tokenizer takes; a longer text is cut at a word for this only.
+#: Bytes of text that one pass of the tokenizer takes. A longer text is cut between windows, which stay those of the
+#: whole text; only a run of letters that is longer itself counts as several words.
 CHUNK = 1 << 20
+STRETCHES = 8
 _LETTER = np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _LETTER[0x80:] = True
 
 
-def _powers(n: int, m: int) -> np.ndarray:
-    out = np.full(n, m, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_M = 0x9E3779B97F4A7C55
-_INVERSE = pow(_M, -1, 1 << 64)
-
-
 class Words:
     """Words of a run of bytes: hashes, places, and the four-grams of the distinct ones."""
 
@@ -80,15 +72,22 @@ class Words:
             self.grams = (wide[at] | wide[at + 1] << 8 | wide[at + 2] << 16 | wide[at + 3] << 24) * np.uint32(0x9E3779B1)
 
 
-def pieces(text: str) -> list[bytes]:
-    """The text's bytes, lower case, in runs that end at a space unless there is none."""
-    data = text.lower().encode("utf-8", "replace")
-    out = []
-    while len(data) > CHUNK:
-        cut = max(data.rfind(c, 0, CHUNK) for c in (b" ", b"\n")) + 1 or CHUNK
-        out.append(data[:cut])
-        data = data[cut:]
-    return [*out, data]
+def pieces(text: str, s: Settings) -> list[bytes]:
+    """The text's bytes, lower case, in runs whose windows together are those of the whole text."""
+    data, out, at = text.lower().encode("utf-8", "replace"), [], 0
+    while len(data) - at > CHUNK:
+        letter = np.concatenate([[False], _LETTER[np.frombuffer(data, np.uint8, CHUNK, at)], [False]])
+        edge = np.diff(letter.astype(np.int8))
+        start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        whole = len(end) - bool(letter[-2])  # words that end inside this part
+        windows = (whole - s.window) // s.stride + 1
+        if windows > 0:
+            out.append(data[at : at + end[(windows - 1) * s.stride + s.window - 1]])
+            at += int(start[windows * s.stride])
+        else:  # fewer words than a window: some are longer than all windows should be
+            out.append(data[at : at + CHUNK])
+            at += CHUNK
+    return [*out, data[at:]]
 
 
 def window_starts(n: int, s: Settings) -> np.ndarray:
@@ -223,7 +222,7 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Net
         return None
     shift = np.uint64(64 - s.bits)
     own, grams = (lambda w: (w.distinct >> shift).astype(np.int64)), (lambda w: (w.grams >> np.uint32(32 - s.bits)).astype(np.int64))
-    kept = [(Words(b" ".join(pieces(t))), v) for t, v in zip(texts, y, strict=True)]
+    kept = [(Words(t.lower().encode("utf-8", "replace")), v) for t, v in zip(texts, y, strict=True)]
     kept = [(w, v) for w, v in kept if len(w.word)]
     every, y = [w for w, _ in kept], np.array([v for _, v in kept])
     if y.all() or not y.any():
@@ -338,7 +337,7 @@ def score_texts(net: Net, texts: list[str | None], block: int = 1024, raw: bool
 
     size = 0
     for k, text in enumerate(texts):
-        for piece in pieces(text) if text else ():
+        for piece in pieces(text, s) if text else ():
             held.append((k, piece))
             size += len(piece)
             if size >= CHUNK:
@@ -361,10 +360,14 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), *, id_col:
     """Train on the bounded sample of labelled rows that aren't held out."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most")
-    # labels are drawn before texts are read, with some to spare for texts that are missing or too long
+    # labels are drawn before texts are read, with some to spare for texts that are missing
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(4 * s.sample) for y in (1, 0)]
     scratch = Scratch(docs.sparkSession, "toxicity")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.length("text").between(1, s.longest))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.length("text") > 0)
+    # of a long text as many characters in stretches from its first to its last
+    size, step = s.longest // STRETCHES, (F.length("text") - s.longest // STRETCHES) / F.lit(STRETCHES - 1)
+    parts = F.concat_ws(" ", *[F.substring("text", F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(STRETCHES)])
+    texts = texts.select("id", F.when(F.length("text") <= s.longest, F.col("text")).otherwise(parts).alias("text"))
     drawn = scratch.write(drawn[0].union(drawn[1]).select("id", "y"), "drawn")
     # at most 8 * sample rows of two numbers
     found = scratch.write(texts.join(F.broadcast(drawn), "id"), "texts")
@@ -375,24 +378,32 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), *, id_col:
     return train([r.text for r in rows], [r.y for r in rows], s)
 
 
-def score_toxicity(docs: DataFrame, net: Net | None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = False) -> DataFrame:
-    """``id_col`` (or all columns), held_out, score and predicted for every row.
+def scorer(docs: DataFrame, net: Net | None):
+    """A function from texts to scores, its parameters sent to every task once."""
+    sent = docs.sparkSession.sparkContext.broadcast((net.s, net.p) if net else None)
+    return lambda texts: score_texts(Net(*sent.value), texts) if sent.value else [0.0] * len(texts)
+
+
+def score_toxicity(docs: DataFrame, net: Net | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, held_out, score and predicted for every row.
+
+    A null or empty text, or one without words, scores 0; so does every text if there was nothing to learn from. A
+    text of any length is scored whole. Repeated rows score alike and stay, a score of exactly 0.5 is toxic, an empty
+    table gives an empty result, other columns are never inputs and may have any names.
+    """
+    kinds, score = dict(docs.dtypes), scorer(docs, net)
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = map_rows(slim, lambda cols: [{"id": cols["id"], "score": score(cols["text"])}], f"id {kinds[id_col]}, score double")
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def clean_rows(docs: DataFrame, net: Net | None, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns whatever their names, that score below 0.5; nothing is shuffled.
 
-    A null or empty text, or one without words, scores 0; so does every text if there was nothing to learn from.
-    Repeated rows score alike, an empty table gives an empty result, other columns are never inputs.
+    Nulls, empty, long and repeated texts, and empty tables, as in ``score_toxicity``.
     """
-    spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    kept = docs.columns if keep_all else [id_col]
-    sent = spark.sparkContext.broadcast((net.s, net.p) if net else None)
-
-    def run(cols):
-        texts = cols["__text"]
-        out = score_texts(Net(*sent.value), texts) if sent.value else [0.0] * len(texts)
-        yield {**{c: cols[c] for c in kept}, "score": out}
-
-    slim = docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    out = map_rows(slim, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "score double"]))
-    return out.select(*[f"`{c}`" for c in kept], held_out(F.col(f"`{id_col}`")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    score = scorer(docs, net)
+    return keep_rows(docs, text_col, lambda texts: [x < 0.5 for x in score(texts)])
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
