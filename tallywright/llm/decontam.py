@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import MARKS, encoded, mix, word_hashes
-from .tables import map_rows
+from .tables import keep_rows, map_rows
 
 #: Weight 6, chosen so that one of them fits any 14 words with 2 substituted and any 15, 20 or 25 with a fifth
 #: substituted, as tests show; any run of LEAST matches and four fifths equal words holds one of these.
@@ -29,6 +29,8 @@ LEAST = 12
 #: Seeds of a benchmark block (16 bytes each, and a filter of 1 MB), which every task holds.
 BLOCK = 1 << 20
 _BITS = 23
+#: Placements of a text's seeds in items that are laid out at a time.
+PLACEMENTS = 1 << 20
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -114,12 +116,17 @@ class Benchmark:
             if not len(place):
                 continue
             low, high = np.searchsorted(seed, s[place], "left"), np.searchsorted(seed, s[place], "right")
-            n = high - low
-            if not n.sum():
-                continue
-            where = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            pairs = np.unique(np.stack([item[where].astype(np.int64), np.repeat(place, n) - at[where]]), axis=1)
-            out.update(zip(pairs[0].tolist(), pairs[1].tolist(), strict=True))
+            total = np.concatenate([[0], np.cumsum(high - low)])
+            # a seed that text and items repeat has very many placements: they are laid out some at a time
+            cuts = [*np.searchsorted(total, np.arange(0, total[-1], PLACEMENTS)).tolist(), len(place)]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                n = (high - low)[first:last]
+                if not n.sum():
+                    continue
+                where = np.repeat(low[first:last] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                diagonal = np.repeat(place[first:last], n) - at[where]
+                found = np.unique((item[where].astype(np.int64) << np.int64(40)) + diagonal + (1 << 39))
+                out.update(zip((found >> np.int64(40)).tolist(), ((found & ((1 << 40) - 1)) - (1 << 39)).tolist(), strict=True))
         return out
 
     def overlaps(self, words: np.ndarray) -> list[dict]:
@@ -158,8 +165,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """One row for each text and benchmark item of which it holds a run: ids, matched and run in words, the
     item's words, and the run's first word in the text.
 
-    Null or empty texts and items match nothing. An item repeated under several ids is reported under each; a
-    repeated text is reported again. Empty tables give an empty result; other columns are ignored.
+    Null or empty texts and items, and those without letters and digits, match nothing. An item of few
+    words is found by the same rule, so an item of one word marks every text with that word: leave such items out of the
+    benchmark where that isn't wanted. A text of any length is searched whole; of several runs of an item the one that matches most is told, of equal ones the first. An item
+    repeated under several ids is reported under each; a repeated text is reported again. Empty tables give an
+    empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
@@ -182,16 +192,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text overlaps no benchmark item; nothing is shuffled."""
-    spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    for block in benchmark_blocks(benchmark, item_col, item_text):
-        sent = spark.sparkContext.broadcast(block)
+    """The rows, with all their columns whatever their names, whose text overlaps no benchmark item; nothing is shuffled.
 
-        def run(cols, sent=sent):
-            keep = [not sent.value.overlaps(w) for s in range(0, len(cols[text_col]), 512) for w in words_of(cols[text_col][s : s + 512])]
-            yield {c: [v for v, k in zip(values, keep, strict=True) if k] for c, values in cols.items()}
-
-        docs = map_rows(docs, run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))
+    Null, empty, long and repeated texts, and empty tables, as in ``find_overlaps``: a row without a text stays.
+    """
+    for block in benchmark_blocks(benchmark, item_col, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = keep_rows(docs, text_col, lambda texts, sent=sent: [not sent.value.overlaps(w) for w in words_of(texts)])
     return docs
 
 
