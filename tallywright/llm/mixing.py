@@ -4,8 +4,8 @@ Documents are shuffled by the MD5 of their id. In that order a document's virtua
 source's cumulative words divided by the source's target; a second copy continues where the first pass
 over the source ended. The mix is the globally sorted queue, truncated at the total budget.
 
-No source is ordered in one task: prefix sums are taken in blocks of the shuffled order, and the global
-cut is found from the sums of virtual-time blocks and then inside the one block that the budget ends in.
+No source is ordered in one task: prefix sums are taken in blocks of the shuffled order, and the global cut is found
+from the sums of blocks of virtual time, then of blocks of the one that the budget ends in, until few rows are left.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
+from .tables import free
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of the shuffled order within each source, by the first hex digits of the key.
 BLOCK_DIGITS = 3
-#: Blocks of one unit of virtual time, and the time from which all is one block.
-TIME_BLOCKS, LAST_TIME = 4096, 8
+#: Blocks of a histogram of virtual times, and the rows among which the last one of the mix is looked for by sorting.
+TIME_BLOCKS, CUT_ROWS = 4096, 50_000
 
 
 def words(text: Column) -> Column:
@@ -54,8 +55,9 @@ def fair_mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), budget: f
     """Every row with its size, its source's size and target, and the words that the mix takes of it.
 
     ``taken`` is a whole number of copies, 0 to ``most``, of the row's words. A null or empty text has no
-    words and adds nothing; a null source is a source of its own, last in order; repeated rows are separate
-    rows. An empty table gives an empty result. Other columns are ignored. Equal finish times are ordered by
+    words and adds nothing; a very long one counts whole; a null source is a source of its own, last in order;
+    repeated rows are separate rows. An empty table gives an empty result. Other columns are ignored, whatever
+    their names. Equal finish times are ordered by
     source, key, id and copy, so reruns agree.
     """
     spark = docs.sparkSession
@@ -80,16 +82,27 @@ def fair_mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), budget: f
     finish = [F.when(F.col("target") > 0, (F.lit(c) * F.col("source_size") + F.col("upto")) / F.col("target")).otherwise(F.lit(0.0)) for c in range(most)]
     queue = scratch.write(queue.select("id", "source", "size", "source_size", "target", "rank", "key", "at", F.array(*finish).alias("finish")), "queue")
     copies = queue.select("rank", "key", "id", "at", "size", F.posexplode("finish").alias("copy", "finish"))
-    copies = copies.withColumn("time", F.least(F.col("finish") * F.lit(float(TIME_BLOCKS)), F.lit(float(TIME_BLOCKS * LAST_TIME))).cast("long"))
-    # bounded: at most TIME_BLOCKS * LAST_TIME + 1 rows
-    times = copies.groupBy("time").agg(F.sum("size").alias("words"))
-    so_far = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    cut = times.select("time", "words", F.sum("words").over(so_far).alias("upto")).filter(F.col("upto") > F.lit(total)).orderBy("time").limit(1).collect()
-    if cut:
-        order = ["finish", "rank", "key", "id", "at", "copy"]
-        inside = copies.filter(F.col("time") == cut[0].time)
-        upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(cut[0].upto - cut[0].words)
-        first = inside.withColumn("upto", upto).filter(F.col("upto") > F.lit(total)).orderBy(*order).limit(1).collect()[0]
+    # where the budget ends: a histogram of times, and then of the block in which it ends, until few rows are left
+    copies = copies.filter("size > 0")  # rows without words decide nothing
+    before, inside = 0, copies
+    low, high, n = inside.agg(F.min("finish"), F.max("finish"), F.count("*")).first()
+    while n > CUT_ROWS and high > low:
+        spot = F.least(F.floor((F.col("finish") - F.lit(low)) * F.lit(TIME_BLOCKS / (high - low))), F.lit(TIME_BLOCKS - 1)).cast("long")
+        blocks = inside.groupBy(spot.alias("spot")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high")).orderBy("spot").collect()
+        chosen = None
+        for t in blocks:  # at most TIME_BLOCKS
+            if before + t.words > total:
+                chosen = t
+                break
+            before += t.words
+        if chosen is None or chosen.n == n:
+            break
+        inside, low, high, n = inside.filter(spot == chosen.spot), chosen.low, chosen.high, chosen.n
+    order = ["finish", "rank", "key", "id", "at", "copy"]
+    upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+    found = inside.withColumn("upto", upto).filter(F.col("upto") > F.lit(total)).orderBy(*order).limit(1).collect()
+    if found:
+        first = found[0]
 
         def kept(c: int) -> Column:
             out = F.lit(False)
@@ -117,14 +130,16 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "so
     """
     taken = fair_mix(docs, id_col=id_col, source_col=source_col, **how)
     most = how.get("most", 2)
+    mark = free("mix", docs)
     order = F.struct("key", F.col(f"`{id_col}`").alias("id"))
-    ends = taken.groupBy(F.col(f"`{source_col}`").alias("__source")).agg(*[F.max(F.when(F.col("copies") > c, order)).alias(f"__end{c}") for c in range(most)])
+    ends = taken.groupBy(F.col(f"`{source_col}`").alias(mark)).agg(*[F.max(F.when(F.col("copies") > c, order)).alias(f"{mark}_{c}") for c in range(most)])
     ends = Scratch(docs.sparkSession, "mixing").write(ends, "ends")
     key = F.coalesce(F.md5(F.col(f"`{id_col}`").cast("string")), F.lit(""))
     here = F.struct(key.alias("key"), F.col(f"`{id_col}`").alias("id"))
-    n = sum((F.coalesce(here <= F.col(f"__end{c}"), F.lit(False)).cast("int") for c in range(most)), F.lit(0))
-    joined = docs.join(ends, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__n", n).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[f"`{c}`" for c in docs.columns])
+    n = sum((F.coalesce(here <= F.col(f"{mark}_{c}"), F.lit(False)).cast("int") for c in range(most)), F.lit(0))
+    joined = docs.join(ends, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(mark)))
+    each = F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
+    return joined.select(*[f"`{c}`" for c in docs.columns], each.alias(f"{mark}_copy")).drop(f"{mark}_copy")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

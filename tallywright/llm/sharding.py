@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
+from .tables import free
 
 #: Group keys start with so many hex digits of their block: 65,536 blocks for prefix sums.
 BLOCK_DIGITS = 4
@@ -144,13 +145,14 @@ class GroupEnds:
         return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, points: int = 4096, rows_per_block: int = 100_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, points: int = 4096, rows_per_block: int = 100_000, keep_columns: bool = False) -> DataFrame:
     """Shard, slot and size of every row; equal texts share a shard and the largest shard is as small as can be.
 
-    Returns ``id_col``, size (UTF-8 bytes of the text plus ``overhead``), text_crc32, digest, shard, slot.
+    Returns ``id_col``, size (UTF-8 bytes of the text plus ``overhead``), text_crc32, digest, shard, slot; with
+    ``keep_columns`` all columns of the rows, and size, shard and slot under names that none of them has.
     A null text has no bytes; null texts form one group, apart from the empty text. Repeated rows are rows of
-    one group and get slots of their own. An empty table gives an empty result. Other columns are ignored.
-    Groups are never split, so a group above the mean size sets the capacity. Fewer groups than shards leave
+    one group and get slots of their own. An empty table gives an empty result. Other columns are ignored, whatever
+    their names. A text of any length has its place whole. Groups are never split, so a group above the mean size sets the capacity. Fewer groups than shards leave
     shards empty.
     """
     spark = docs.sparkSession
@@ -162,6 +164,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text
             F.coalesce(F.sha2(text, 256), F.lit("null")).alias("digest"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(overhead)).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
+            *([F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")] if keep_columns else []),
         ),
         "rows",
     )
@@ -182,14 +185,18 @@ def shard_by_bytes(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text
     # a row's shard: the number of cuts before its group; cuts at 0 stand for empty shards
     placed = rows.withColumn("shard", F.size(F.filter(marks, lambda m: m < F.col("digest"))))
     parts = max(32, -(-count // (shards * rows_per_block)))
-    placed = scratch.write(placed.withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.lit(parts)).cast("int")), "placed")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.lit(parts)).cast("int"))
     sums = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "digest"))
-    out = placed.join(offsets, ["shard", "part"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", "digest", "shard", (F.col("before") + rank - 1).alias("slot")
-    )
-    scratch.drop(rows, groups, ends)
+    slot = F.col("before") + rank - 1
+    out = placed.join(offsets, ["shard", "part"])
+    if keep_columns:
+        added = {"size": F.col("size"), "shard": F.col("shard"), "slot": slot}
+        out = out.select("row", *[c.alias(free(name, docs)) for name, c in added.items()]).select(*[F.col("row")[c].alias(c) for c in docs.columns], *[free(name, docs) for name in added])
+    else:
+        out = out.select(F.col("id").alias(id_col), "size", "text_crc32", "digest", "shard", slot.alias("slot"))
+    scratch.drop(groups, ends)
     return out
 
 
