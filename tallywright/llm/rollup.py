@@ -2,12 +2,14 @@
 
 A batch holds signed changes: an insert adds a document's counts, a delete takes them away, and a revision
 does both for the old and the new state. Only the batch is read; its deltas, summed by source, language and
-tokenizer version, are added to the totals. Batches commit by a rename of a complete version that holds the
-totals and the ids of all batches in them, so a batch that is sent again, or whose writer died, changes nothing.
+tokenizer version, are added to the totals. Batches commit by a rename, which fails if its target exists, of a
+complete version that holds the totals and the ids of all batches in them: a batch that is sent again, or whose
+writer died, changes nothing, and of writers at once none is lost.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,44 +89,74 @@ class TokenLedger:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path("."))]
         return max([int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()], default=0)
 
-    def totals(self) -> DataFrame:
-        v = self.version()
+    def totals(self, v: int | None = None) -> DataFrame:
+        v = self.version() if v is None else v
         return self.spark.read.schema(TOTALS).parquet(f"{self.root}/v{v}/totals") if v else self.spark.createDataFrame([], TOTALS)
 
-    def batches(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema("batch string").parquet(f"{self.root}/v{v}/batches") if v else self.spark.createDataFrame([], "batch string")
-
-    def commit(self, batch: str, changes: DataFrame) -> bool:
+    def batches(self, v: int | None = None) -> DataFrame:
+        v = self.version() if v is None else v
+        kind = "batch string, version int"
+        return self.spark.read.schema(kind).parquet(f"{self.root}/v{v}/batches") if v else self.spark.createDataFrame([], kind)
+
+    def history(self) -> DataFrame:
+        """The totals as each batch left them: version, its batch, and the totals' columns."""
+        out = self.spark.createDataFrame([], f"version int, batch string, {TOTALS}")
+        for v in range(1, self.version() + 1):
+            totals = self.spark.read.schema(TOTALS).parquet(f"{self.root}/v{v}/totals")
+            last = self.spark.read.schema("batch string, version int").parquet(f"{self.root}/v{v}/batches").filter(F.col("version") == v)
+            out = out.unionByName(totals.crossJoin(F.broadcast(last)))  # one row
+        return out
+
+    def commit(self, batch: str, changes: DataFrame, tries: int = 5) -> bool:
         """Add a batch of signed changes; False, and no change, if the batch is in the totals already.
 
-        Groups whose documents are all gone leave the totals. A null source or language is a group of its own.
+        Groups whose documents are all gone leave the totals. A null source or language is a group of its own. Of
+        writers that commit at once one wins; the others start again from what it left.
         """
-        if self.batches().filter(F.col("batch") == batch).limit(1).count():
-            return False
-        v = self.version() + 1
-        held = f"{self.root}/_pending-v{v}"
-        self.fs.delete(self._path(f"_pending-v{v}"), True)
         deltas = changes.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        totals = self.totals().unionByName(deltas).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        totals.filter("n_docs <> 0 OR n_tokens <> 0").coalesce(1).write.mode("overwrite").parquet(f"{held}/totals")
-        self.batches().unionByName(self.spark.createDataFrame([(batch,)], "batch string")).coalesce(1).write.mode("overwrite").parquet(f"{held}/batches")
-        if not self.fs.rename(self._path(f"_pending-v{v}"), self._path(f"v{v}")) or self.version() != v:
-            raise RuntimeError(f"version {v} was committed by another writer")
+        deltas = Scratch(self.spark, "deltas").write(deltas, batch)
+        for _ in range(tries):
+            v = self.version()
+            before = self.totals(v)
+            known = self.batches(v)
+            if known.filter(F.col("batch") == batch).limit(1).count():
+                return False
+            held = f"_pending-{uuid.uuid4().hex}"
+            totals = before.unionByName(deltas).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            totals.filter("n_docs <> 0 OR n_tokens <> 0").coalesce(1).write.parquet(f"{self.root}/{held}/totals")
+            known.unionByName(self.spark.createDataFrame([(batch, v + 1)], "batch string, version int")).coalesce(1).write.parquet(f"{self.root}/{held}/batches")
+            if self._publish(held, f"v{v + 1}"):
+                return True
+        raise RuntimeError(f"batch {batch}: {tries} times another writer was first")
+
+    def _publish(self, held: str, name: str) -> bool:
+        """Rename a complete version; False, and the folder gone, where that version exists."""
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        refuse = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(self.fs.makeQualified(self._path(held)), self.fs.makeQualified(self._path(name)), refuse)
+        except Exception:
+            if not self.fs.exists(self._path(name)):
+                raise
+            self.fs.delete(self._path(held), True)
+            return False
         return True
 
 
 def maintain(docs: DataFrame, ledger: TokenLedger) -> DataFrame:
-    """The corpus' life in three batches: load, retire repeated texts, move to the next tokenizer version.
+    """The corpus' life in three batches: load, retire repeated texts, move to the next tokenizer version; the totals
+    that each of them left, as ``TokenLedger.history`` gives them.
 
-    Repeated texts (all but the row of the smallest id for each text; null texts count as repeats of each other)
-    are deleted; what stays is revised from tokenizer words-1 to words-2. The second batch is sent twice.
-    Rows of an empty table leave empty totals.
+    Repeated texts (all but the row of the smallest id for each text; null texts count as repeats of each other, and
+    of rows with the same id any one stays) are deleted; what stays is revised from tokenizer words-1 to words-2. The
+    second batch is sent twice. A null or empty text has no tokens, a very long one counts whole. An empty table
+    leaves empty totals. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "rollup")
     kinds = {"words-1": word_tokens, "words-2": piece_tokens, "bytes-1": byte_tokens}
     text = F.col("text")
-    slim = docs.select("doc_id", "source", "lang", F.coalesce(F.sha2(text, 256), F.lit("")).alias("digest"), *[f(text).alias(k) for k, f in kinds.items()])
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("digest"), *[f(text).alias(k) for k, f in kinds.items()])
     rows = scratch.write(slim.withColumn("row", F.monotonically_increasing_id()), "rows")
     first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
     rows = scratch.write(rows.join(first, "row", "left").withColumn("stays", F.coalesce("stays", F.lit(False))), "marked")
@@ -140,20 +172,22 @@ def maintain(docs: DataFrame, ledger: TokenLedger) -> DataFrame:
     kept = rows.filter("stays")
     old, new = of(kept, "words-1"), of(kept, "words-2")
     ledger.commit("words-2", revised(old, new))
-    return ledger.totals()
+    return ledger.history()
 
 
 def op9_token_rollup(spark, sf_dir: str) -> DataFrame:
-    """Token totals of all documents after load, retirement of copies and a tokenizer change."""
+    """Token totals of all documents after load, after retirement of copies and after a tokenizer change."""
     ledger = TokenLedger(spark, Scratch(spark, "ledger").root)
     return maintain(spark.read.parquet(f"{sf_dir}/documents.parquet"), ledger)
 
 
 SQL = r"""
-WITH ranked AS (SELECT source, lang, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents),
-kept AS (SELECT * FROM ranked WHERE r = 1)
-SELECT source, lang, 'words-2' AS tokenizer, count(*) AS n_docs,
-  CAST(sum(coalesce(len(regexp_extract_all(text, '[0-9A-Za-z]+|[^\x20\x09-\x0D0-9A-Za-z]')), 0)) AS BIGINT) AS n_tokens FROM kept GROUP BY 1, 2
-UNION ALL
-SELECT source, lang, 'bytes-1', count(*), CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) FROM kept GROUP BY 1, 2
+WITH ranked AS (SELECT source, lang, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r,
+  CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS w1,
+  CAST(coalesce(len(regexp_extract_all(text, '[0-9A-Za-z]+|[^\x20\x09-\x0D0-9A-Za-z]')), 0) AS BIGINT) AS w2, CAST(coalesce(strlen(text), 0) AS BIGINT) AS b FROM documents),
+kinds AS (
+  SELECT 1 AS version, 'load' AS batch, source, lang, 'words-1' AS tokenizer, w1 AS n FROM ranked UNION ALL SELECT 1, 'load', source, lang, 'bytes-1', b FROM ranked
+  UNION ALL SELECT 2, 'retire-copies', source, lang, 'words-1', w1 FROM ranked WHERE r = 1 UNION ALL SELECT 2, 'retire-copies', source, lang, 'bytes-1', b FROM ranked WHERE r = 1
+  UNION ALL SELECT 3, 'words-2', source, lang, 'words-2', w2 FROM ranked WHERE r = 1 UNION ALL SELECT 3, 'words-2', source, lang, 'bytes-1', b FROM ranked WHERE r = 1)
+SELECT CAST(version AS INT) AS version, batch, source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM kinds GROUP BY ALL
 """
