@@ -4,11 +4,12 @@ A byte goes if a string of ``length`` bytes over it also starts somewhere else i
 have equal minimizers (the k-gram of least hash within them), so a text is cut into stretches whose windows
 share one minimizer, and equal windows always lie in stretches of one key. Most keys occur once: nothing there
 repeats. Stretches with equal bytes repeat in full, which counting tells. What is left are keys with several
-different stretches, at the edges of repeated passages: one copy of each goes, by key, to an index family.
+different stretches, at the edges of repeated passages: one copy of each goes, by key, to a task that compares
+windows; those of a key of very many stretches are dealt by their own content.
 
-The family holds suffix arrays over windows, sorted by content. A batch gets a suffix array of its own, is
-merge-scanned against every level for equal windows, and enters as a new level; levels of equal size merge, so
-a window is merged a logarithmic number of times.
+The index is a logarithmic family in both places. Across batches (``RepeatIndex``) a level is a table of stretches
+in order of key; within a task (``SuffixFamily``) it is an array of windows in order of content. What is new gets a
+level of its own, is scanned against every level for equal content, and levels of equal size merge.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .tables import map_rows
 
 #: Bytes of a k-gram; of a text that is worked on at a time, with a window's overlap; windows of an index batch.
 GRAM, CHUNK, BATCH = 40, 1 << 20, 1 << 14
-#: Windows that one index task is meant to hold.
-TASK_WINDOWS = 1 << 18
+#: Windows that one index task is meant to hold, and stretches of a key that go to one task.
+TASK_WINDOWS, HOT = 1 << 18, 256
 
 
 def stretches(texts: list[bytes], length: int, gram: int = GRAM):
@@ -131,77 +132,22 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False) -> DataFrame:
-    """Per row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes kept.
-
-    Strings are compared as UTF-8 bytes of the input and never cross rows. A null text is empty; a text shorter
-    than ``length`` keeps everything; rows that repeat a long text lose all of it. An empty table gives an empty
-    result; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
-    kind = dict(docs.dtypes)[id_col]
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-
-    def cut(cols):
-        for s in range(0, len(cols["id"]), 512):
-            texts = encoded(cols["text"][s : s + 512])
-            found = stretches(texts, length)
-            yield {
-                "id": cols["id"][s : s + 512], "digest": [hashlib.sha256(t).hexdigest() for t in texts],
-                "parts": [[{"key": k, "content": c, "first": f, "n": n} for k, c, f, n in zip(*(x.tolist() for x in z), strict=True)] for z in found],
-            }
-
-    part = "struct<key:bigint,content:bigint,first:bigint,n:bigint>"
-    rows = map_rows(slim.filter(F.octet_length("text") >= length), cut, f"id {kind}, digest string, parts array<{part}>")
-    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    each = rows.select("row", F.inline("parts"))
-    place = F.struct("row", "first", "n")
-    bodies = scratch.write(each.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(place).alias("one")), "bodies")
-    full = each.join(bodies.filter("copies > 1").select("key", "content"), ["key", "content"], "left_semi")
-    full = full.select("row", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
-    full = scratch.write(full.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "full")
-
-    # one copy of each stretch of keys that have several
-    several = bodies.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).filter("x <> y").select("key")
-    mixed = scratch.write(bodies.join(several, "key", "left_semi").select("key", "copies", "one.*"), "mixed")
-    scratch.drop(bodies)
-    total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    who = rows.select("row", "id", "digest")
-    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct("key", "first", "n")).alias("cuts")).join(who, "row")
-    wanted = wanted.groupBy("id", "digest").agg(F.flatten(F.collect_list(F.transform("cuts", lambda c: F.struct(F.col("row"), c["key"].alias("key"), c["first"].alias("first"), c["n"].alias("n"))))).alias("cuts"))
+def window_hashes(data: bytes, length: int) -> np.ndarray:
+    """A 64-bit hash of the window at each place."""
+    buf = np.frombuffer(data, np.uint8)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(len(buf), _M))])
+        return mix((sums[length:] - sums[:-length]) * _powers(len(buf), _INVERSE)[: len(buf) - length + 1]).view(np.int64)
 
-    def pack(cols):
-        import zstandard
-
-        c = zstandard.ZstdCompressor(level=1)
-        for s in range(0, len(cols["id"]), 1024):
-            texts = encoded(cols["text"][s : s + 1024])
-            yield {"id": cols["id"][s : s + 1024], "digest": [hashlib.sha256(t).hexdigest() for t in texts], "body": [c.compress(t) for t in texts]}
 
-    packed = map_rows(slim, pack, f"id {kind}, digest string, body binary")
-    other = wanted.select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), "cuts")
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
-
-    def take(cols):
-        import zstandard
-
-        z = zstandard.ZstdDecompressor()
-        for body, cuts in zip(cols["body"], cols["cuts"], strict=True):
-            data = z.decompress(body)
-            yield {
-                "key": [c["key"] for c in cuts], "row": [c["row"] for c in cuts], "first": [c["first"] for c in cuts],
-                "data": [data[c["first"] : c["first"] + c["n"] - 1 + length] for c in cuts],
-            }
-
-    pieces = packed.join(other, same).select("id", "digest", "body", "cuts").dropDuplicates(["id", "digest"])
-    pieces = map_rows(pieces, take, "key bigint, row bigint, first bigint, data binary")
+def repeated_windows(pieces: DataFrame, length: int, tasks: int) -> DataFrame:
+    """row, a, b: spans of the windows that lie in several of the pieces of a key, by an index family a task.
+    pieces: key, row, first, data."""
 
     def index(batches):
         import pyarrow as pa
 
         family, rows_, firsts, data, owners, size = SuffixFamily(length), [], [], [], [], 0
-        base = np.zeros(1, np.int64)  # of each stretch's windows, in the numbering of owners
         counts: list[int] = []
 
         def settle():
@@ -228,7 +174,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
         if not counts:
             return
         found = np.unique(family.finish())
-        base = np.concatenate([[0], np.cumsum(counts)])
+        base = np.concatenate([[0], np.cumsum(counts)])  # of each stretch's windows, in the numbering of owners
         stretch = np.searchsorted(base, found, "right") - 1
         start = np.array(firsts)[stretch] + found - base[stretch]
         row = np.array(rows_)[stretch]
@@ -238,36 +184,209 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
         b = np.append(a[1:], len(found)) - 1 if len(a) else a
         yield pa.RecordBatch.from_arrays([pa.array(row[a], pa.int64()), pa.array(start[a], pa.int64()), pa.array(start[b] + length, pa.int64())], names=["row", "a", "b"])
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WINDOWS))
-    edges = pieces.repartition(tasks, "key").mapInArrow(index, "row bigint, a bigint, b bigint")
-    edges = scratch.write(edges.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "edges")
-    spans = full.union(edges).join(who, "row").groupBy("id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = scratch.write(spans, "spans")
-    scratch.drop(full, edges, mixed)
+    return pieces.repartition(tasks, "key").mapInArrow(index, "row bigint, a bigint, b bigint")
+
+
+def repeated_windows_dealt(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for keys of very many stretches: each window is dealt by its own content."""
+
+    def split(cols):
+        for key, row, first, data in zip(cols["key"], cols["row"], cols["first"], cols["data"], strict=True):
+            h = window_hashes(data, length)
+            yield {"key": [key] * len(h), "window": h, "row": [row] * len(h), "start": np.arange(first, first + len(h))}
+
+    windows = map_rows(pieces.select("key", "row", "first", "data"), split, "key bigint, window bigint, row bigint, start bigint")
+    twice = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
+    return windows.join(twice, ["key", "window"], "left_semi").select("row", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """row and the union of its spans."""
 
-    def strip(cols):
+    def join(cols):
+        yield {"row": cols["row"], "spans": [[{"a": a, "b": b} for a, b in union([(x["a"], x["b"]) for x in s])] for s in cols["spans"]]}
+
+    return map_rows(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), join, "row bigint, spans array<struct<a:bigint,b:bigint>>")
+
+
+class RepeatIndex:
+    """An index family of all batches added so far, as tables in the shared folder.
+
+    A level holds one entry for each different stretch: key, content, how many copies, and the place of one of them,
+    in order of key. A new batch is cut into stretches of its own, scanned against every level by key, and enters as a
+    level; levels of about equal size merge, so a stretch is rewritten a logarithmic number of times. Bytes that a
+    batch shares with earlier ones go from both. The tables of earlier batches must stay readable.
+    """
+
+    def __init__(self, spark, length: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
+        self.spark, self.length, self.id_col, self.text_col, self.hot = spark, length, id_col, text_col, hot
+        self.scratch = Scratch(spark, "repeats")
+        self.levels: list[tuple[DataFrame, int]] = []
+        self.who: list[DataFrame] = []  # of each batch: row, id, digest of long texts
+        self.texts: list[DataFrame] = []
+        self.found: list[DataFrame] = []  # row, spans
+
+    def add(self, docs: DataFrame) -> None:
+        spark, length, scratch = self.spark, self.length, self.scratch
+        kind = dict(docs.dtypes)[self.id_col]
+        slim = docs.select(F.col(f"`{self.id_col}`").alias("id"), F.coalesce(F.col(f"`{self.text_col}`"), F.lit("")).alias("text"))
+
+        def cut(cols):
+            for s in range(0, len(cols["id"]), 512):
+                texts = encoded(cols["text"][s : s + 512])
+                found = stretches(texts, length)
+                yield {
+                    "id": cols["id"][s : s + 512], "digest": [hashlib.sha256(t).hexdigest() for t in texts],
+                    "parts": [[{"key": k, "content": c, "first": f, "n": n} for k, c, f, n in zip(*(x.tolist() for x in z), strict=True)] for z in found],
+                }
+
+        part = "struct<key:bigint,content:bigint,first:bigint,n:bigint>"
+        rows = map_rows(slim.filter(F.octet_length("text") >= length), cut, f"id {kind}, digest string, parts array<{part}>")
+        # numbers of rows don't meet those of earlier batches
+        rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id() + F.lit(len(self.who) << 56)), "rows")
+        self.who.append(rows.select("row", "id", "digest"))
+        self.texts.append(slim)
+        each = rows.select("row", F.inline("parts"))
+        bodies = scratch.write(each.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "n")).alias("one")), "bodies")
+        end = F.col("first") + F.col("n") - 1 + length
+
+        # stretches that repeat in full
+        again = bodies.filter("copies > 1").select("key", "content")
+        held = self._levels()
+        if held is not None:
+            # merge-scan: entries of the levels at the batch's keys
+            held = scratch.write(held.join(bodies.select("key").distinct(), "key", "left_semi"), "held")
+            again = again.union(bodies.join(held.select("key", "content"), ["key", "content"], "left_semi").select("key", "content")).distinct()
+        full = each.join(again, ["key", "content"], "left_semi").select("row", F.col("first").alias("a"), end.alias("b"))
+        if held is not None:
+            old = held.filter("copies = 1").join(bodies.select("key", "content"), ["key", "content"], "left_semi")
+            full = full.union(old.select("one.*").select("row", F.col("first").alias("a"), end.alias("b")))
+        self.found.append(scratch.write(full.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "full"))
+
+        # of keys with several different stretches one copy of each
+        entries = bodies if held is None else bodies.unionByName(held)
+        several = entries.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y"), F.count("*").alias("contents")).filter("x <> y")
+        mixed = entries.join(several.select("key", (F.col("contents") > self.hot).alias("hot")), "key").select("key", "hot", "one.*").distinct()
+        mixed = scratch.write(mixed, "mixed")
+        total, most = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
+        pieces = self._pieces(mixed)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WINDOWS))
+        edges = repeated_windows(pieces.filter("NOT hot"), length, tasks)
+        if most:
+            edges = edges.union(repeated_windows_dealt(pieces.filter("hot"), length))
+        self.found.append(scratch.write(merged(edges), "edges"))
+        scratch.drop(mixed, *([] if held is None else [held]))
+        self._enter(bodies)
+
+    def _levels(self) -> DataFrame | None:
+        out = None
+        for t, _ in self.levels:
+            out = t if out is None else out.unionByName(t)
+        return out
+
+    def _enter(self, bodies: DataFrame) -> None:
+        """The batch becomes a level; while the last is more than half of the one before, both become one."""
+        self.levels.append((bodies, bodies.count()))
+        while len(self.levels) > 1 and 2 * self.levels[-1][1] > self.levels[-2][1]:
+            (x, _), (y, _) = self.levels.pop(), self.levels.pop()
+            both = x.unionByName(y).groupBy("key", "content").agg(F.sum("copies").alias("copies"), F.min("one").alias("one"))
+            both = self.scratch.write(both.repartitionByRange("key").sortWithinPartitions("key", "content"), "level")
+            self.levels.append((both, both.count()))
+            self.scratch.drop(x, y)
+
+    def _pieces(self, mixed: DataFrame) -> DataFrame:
+        """key, hot, row, first and bytes of stretches."""
+        length = self.length
+        cuts = mixed.groupBy("row").agg(F.collect_list(F.struct("key", "hot", "first", "n")).alias("cuts"))
+
+        def take(cols):
+            import zstandard
+
+            z = zstandard.ZstdDecompressor()
+            for body, cuts in zip(cols["body"], cols["cuts"], strict=True):
+                data = z.decompress(body)
+                yield {
+                    "key": [c["key"] for c in cuts], "hot": [c["hot"] for c in cuts], "row": [c["row"] for c in cuts], "first": [c["first"] for c in cuts],
+                    "data": [data[c["first"] : c["first"] + c["n"] - 1 + length] for c in cuts],
+                }
+
+        out = None
+        for slim, who in zip(self.texts, self.who, strict=True):
+            wanted = cuts.join(who, "row")
+            of_row = F.transform("cuts", lambda c: F.struct(F.col("row"), c["key"].alias("key"), c["hot"].alias("hot"), c["first"].alias("first"), c["n"].alias("n")))
+            wanted = wanted.groupBy(F.col("id").alias("id_"), F.col("digest").alias("digest_")).agg(F.flatten(F.collect_list(of_row)).alias("cuts"))
+            same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
+            found = packed(slim).join(wanted, same).select("id", "digest", "body", "cuts").dropDuplicates(["id", "digest"])
+            found = map_rows(found, take, "key bigint, hot boolean, row bigint, first bigint, data binary")
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    def stripped(self, batch: int, texts_out: bool = False) -> DataFrame:
+        """Of each row of a batch: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes kept."""
+        spans = self.found[0]
+        for t in self.found[1:]:
+            spans = spans.union(t)
+        slim = self.texts[batch]
+        kind = dict(slim.dtypes)["id"]
+        spans = spans.join(self.who[batch], "row").groupBy(F.col("id").alias("id_"), F.col("digest").alias("digest_")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = self.scratch.write(spans, "spans")
+
+        def strip(cols):
+            import zstandard
+
+            z = zstandard.ZstdDecompressor()
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            for body, digest, found in zip(cols["body"], cols["digest"], cols["spans"], strict=True):
+                data = z.decompress(body)
+                gone = union([(s["a"], s["b"]) for s in found or ()])
+                at, kept = 0, []
+                for a, b in gone:
+                    kept.append(data[at:a])
+                    at = b
+                left = b"".join([*kept, data[at:]])
+                out["n_bytes"].append(len(data))
+                out["n_removed"].append(len(data) - len(left))
+                out["n_spans"].append(len(gone))
+                out["kept_sha256"].append(hashlib.sha256(left).hexdigest() if gone else digest)
+                out["kept"].append(left if texts_out else None)
+            yield {"id": cols["id"], **out}
+
+        same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
+        out = packed(slim).join(spans, same, "left").select("id", "digest", "body", "spans")
+        out = map_rows(out, strip, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        return out.select(F.col("id").alias(self.id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts_out else []))
+
+
+def packed(slim: DataFrame) -> DataFrame:
+    """id, digest and body: the text's bytes, compressed, for a shuffle of whole texts."""
+    kind = dict(slim.dtypes)["id"]
+
+    def pack(cols):
         import zstandard
 
-        z = zstandard.ZstdDecompressor()
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for body, digest, found in zip(cols["body"], cols["digest"], cols["spans"], strict=True):
-            data = z.decompress(body)
-            gone = union([(s["a"], s["b"]) for s in found or ()])
-            at, kept = 0, []
-            for a, b in gone:
-                kept.append(data[at:a])
-                at = b
-            left = b"".join([*kept, data[at:]])
-            out["n_bytes"].append(len(data))
-            out["n_removed"].append(len(data) - len(left))
-            out["n_spans"].append(len(gone))
-            out["kept_sha256"].append(hashlib.sha256(left).hexdigest() if gone else digest)
-            out["kept"].append(left if texts_out else None)
-        yield {"id": cols["id"], **out}
-
-    known = spans.select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), "spans")
-    out = map_rows(packed.join(known, same, "left").select("id", "digest", "body", "spans"), strip, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts_out else []))
+        c = zstandard.ZstdCompressor(level=1)
+        for s in range(0, len(cols["id"]), 1024):
+            texts = encoded(cols["text"][s : s + 1024])
+            yield {"id": cols["id"][s : s + 1024], "digest": [hashlib.sha256(t).hexdigest() for t in texts], "body": [c.compress(t) for t in texts]}
+
+    return map_rows(slim, pack, f"id {kind}, digest string, body binary")
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = False, hot: int = HOT) -> DataFrame:
+    """Per row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the bytes kept.
+
+    Strings are compared as UTF-8 bytes of the input and never cross rows. A null text is empty; a text shorter
+    than ``length`` keeps everything; one of any length is cut in parts that overlap, which changes no result. Rows
+    that repeat a long text lose all of it, whichever comes first. An empty table gives an empty result; other columns
+    are ignored, whatever their names. Texts are one batch of a ``RepeatIndex``, to which more can be added.
+
+    Stretches are equal if the 64-bit hashes of their minimizer and of their bytes both are: two different ones of a
+    key pass as equal about once in 2^64 pairs. Windows of ordinary keys are compared byte by byte, those of keys with
+    more than ``hot`` different stretches by such hashes.
+    """
+    index = RepeatIndex(docs.sparkSession, length, id_col, text_col, hot)
+    index.add(docs)
+    return index.stripped(0, texts_out)
 
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:

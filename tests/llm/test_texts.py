@@ -166,6 +166,34 @@ def test_repeats_against_brute_force(spark):
     got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(d, length=60).collect())
     assert got == sorted((str(i or None), *w) for i, w in enumerate(brute_repeats([(t or "").encode() for t in texts], 60)))
     assert repeats.remove_repeats(d.limit(0)).count() == 0
+    dealt = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(d, length=60, hot=1).collect())
+    assert dealt == got
+
+
+def test_batches_give_the_same_as_one(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abc ") for _ in range(r.randint(20, 300))) for _ in range(6)]
+    texts = [("".join(r.choice(base)[r.randint(0, 30) : r.randint(40, 300)] + r.choice(["é", "x "]) for _ in range(r.randint(1, 4)))) for _ in range(36)]
+    texts[30] = texts[3]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    index = repeats.RepeatIndex(spark, 60)
+    ends = [0, 12, 18, 24, 30, 36]
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        index.add(spark.createDataFrame(rows[a:b], "doc_id long, text string"))
+        want = list(brute_repeats([t.encode() for t in texts[:b]], 60))
+        sizes = [n for _, n in index.levels]
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+        if k in (1, 4):
+            got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for j in range(k + 1) for x in index.stripped(j).collect()}
+            assert [got[i] for i in range(b)] == want
+
+
+def test_repeats_of_very_long_texts(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_500_000))
+    d = spark.createDataFrame([(1, long), (2, "other " + long[1_000_000:1_100_000] + " end")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in repeats.remove_repeats(d).collect()}
+    assert got == {1: (1_500_000, 100_000, 1), 2: (100_010, 100_000, 1)} or all(abs(v[1] - 100_000) < 4 for v in got.values())
 
 
 def test_family_levels_grow_geometrically():
