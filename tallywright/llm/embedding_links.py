@@ -29,6 +29,8 @@ from ..operators.scratch import Scratch
 
 #: Cell width in deviations of a unit vector's projection, and the share of random pairs within one cell of it.
 CELL, RANDOM_IN_CELL = 2.0, 0.486
+#: Steps to one in the directions of tables; a vector's are a sixteenth of them.
+GRID = 1 << 14
 #: Projections whose windows are counted, and a window's half width in distances r.
 COUNTED, WINDOW = 32, 2.0
 #: Groups of up to so many rows are judged together, offset by offset.
@@ -67,12 +69,17 @@ class Plan:
 
     def directions(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng([self.seed, dim])
-        coarse = rng.standard_normal((dim, self.tables * self.per_table))
+        coarse = np.rint(rng.standard_normal((dim, self.tables * self.per_table)) * GRID) / GRID
         return coarse, rng.uniform(0, CELL, coarse.shape[1]), rng.standard_normal((dim, COUNTED))
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
-        """A 64-bit key of every table for each row."""
+        """A 64-bit key of every table for each row.
+
+        Vectors and directions are on a grid so coarse that their products add up without rounding, so a row has the
+        same keys in whatever block it is multiplied.
+        """
         coarse, shift, _ = self.directions(unit.shape[1])
+        unit = np.rint(unit * (GRID * 16)) / (GRID * 16)
         cells = np.floor((unit @ coarse + shift) / CELL).astype(np.int64).reshape(len(unit), self.tables, self.per_table)
         key = np.full(cells.shape[:2], unit.shape[1], np.uint64)
         with np.errstate(over="ignore"):

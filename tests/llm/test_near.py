@@ -138,5 +138,36 @@ def test_pairs_of_large_groups_are_found_as_surely_as_of_small_ones(spark):
         assert (found <= true).all() and found.sum() >= 0.998 * true.sum()
 
 
+def test_keys_do_not_depend_on_the_block():
+    rng = np.random.default_rng(8)
+    plan = embedding_links.Plan(50_000, 0.95, 0.998, 1)
+    x = rng.standard_normal((700, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    whole = plan.keys(x)
+    for n in (1, 2, 3, 7, 64):
+        assert (np.concatenate([plan.keys(x[i : i + n]) for i in range(0, 140, n)])[:140] == whole[:140]).all()
+
+
+def test_recall_on_many_vectors_and_a_large_bucket(spark):
+    """20,000 vectors of unrelated ones, pairs at the threshold, and a group of 2,400 near copies that share buckets."""
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((13_600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.standard_normal((4_000, 64))
+    w -= (w * x[:4_000]).sum(1, keepdims=True) * x[:4_000]
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9502, 0.99, (4_000, 1))
+    x = np.concatenate([x, cosine * x[:4_000] + np.sqrt(1 - cosine**2) * w, near_copies(rng, 2_400, 0.955)])
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r.n_links for r in embedding_links.link_vectors(d).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    true = np.concatenate([(x[a : a + 2_000] @ x.T >= 0.95).sum(1) for a in range(0, len(x), 2_000)]) - 1
+    near = np.arange(len(x)) >= 17_600
+    assert (found <= true).all()
+    shares = found[near].sum() / true[near].sum(), found[~near].sum() / true[~near].sum()
+    print("recall in the large group and of pairs:", shares)
+    assert min(shares) >= 0.99
+
+
 def test_no_vectors(spark):
     assert embedding_links.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
