@@ -26,8 +26,9 @@ from .tables import map_rows
 
 #: Bytes of a k-gram; of a text that is worked on at a time, with a window's overlap; windows of an index batch.
 GRAM, CHUNK, BATCH = 40, 1 << 20, 1 << 14
-#: Windows that one index task is meant to hold, and stretches of a key that go to one task.
-TASK_WINDOWS, HOT = 1 << 18, 256
+#: Windows that one index task is meant to hold, stretches of a key that go to one task, and those for each part of a
+#: key that has more.
+TASK_WINDOWS, HOT, PART = 1 << 18, 1024, 256
 
 
 def stretches(texts: list[bytes], length: int, gram: int = GRAM):
@@ -140,15 +141,31 @@ def window_hashes(data: bytes, length: int) -> np.ndarray:
         return mix((sums[length:] - sums[:-length]) * _powers(len(buf), _INVERSE)[: len(buf) - length + 1]).view(np.int64)
 
 
+#: Of a stretch, or of its windows that go to one part of a key.
+PIECES = "key bigint, part bigint, row bigint, first bigint, data binary, windows array<bigint>, starts array<bigint>"
+
+
+def dealt(key: int, deal: int, row: int, first: int, data: bytes, length: int):
+    """A stretch as it is, or for a key that is dealt its windows by their own content, as rows of PIECES."""
+    if not deal:
+        yield key, 0, row, first, data, None, None
+        return
+    h = window_hashes(data, length).view(np.uint64)
+    part = (h >> np.uint64(32)) % np.uint64(deal)
+    own = mix(h ^ np.uint64(key & (1 << 64) - 1)).view(np.int64)
+    order = np.argsort(part, kind="stable")
+    for at in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+        yield key, int(part[at[0]]), row, None, None, own[at], first + at
+
+
 def repeated_windows(pieces: DataFrame, length: int, tasks: int) -> DataFrame:
-    """row, a, b: spans of the windows that lie in several of the pieces of a key, by an index family a task.
-    pieces: key, row, first, data."""
+    """row and spans of the windows that lie in several pieces of a key: whole stretches by an index family a task,
+    dealt windows by their hashes."""
 
     def index(batches):
-        import pyarrow as pa
-
         family, rows_, firsts, data, owners, size = SuffixFamily(length), [], [], [], [], 0
         counts: list[int] = []
+        hashed: list[tuple[int, np.ndarray, np.ndarray]] = []
 
         def settle():
             nonlocal data, owners, size
@@ -156,10 +173,28 @@ def repeated_windows(pieces: DataFrame, length: int, tasks: int) -> DataFrame:
                 family.add(data, np.concatenate(owners))
             data, owners, size = [], [], 0
 
+        def out(row, start):
+            """Rows in order of row and start as batches of spans."""
+            import pyarrow as pa
+
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            new = np.ones(len(row), bool)
+            new[1:] = row[1:] != row[:-1]
+            ahead = new.copy()
+            ahead[1:] |= start[1:] > start[:-1] + length
+            begin = np.nonzero(ahead)[0]
+            last = np.append(begin[1:], len(row)) - 1
+            spans = pa.StructArray.from_arrays([pa.array(start[begin]), pa.array(start[last] + length)], names=["a", "b"])
+            cuts = np.append(np.searchsorted(begin, np.nonzero(new)[0]), len(begin))
+            yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans).cast(kind)], names=["row", "spans"])
+
         done = 0
         for batch in batches:
-            cols = batch.to_pydict()
-            for row, first, body in zip(cols["row"], cols["first"], cols["data"], strict=True):
+            cols = batch.select(["row", "first", "data"]).to_pydict()
+            for i, (row, first, body) in enumerate(zip(cols["row"], cols["first"], cols["data"], strict=True)):
+                if body is None:
+                    hashed.append((row, *(batch.column(c)[i].values.to_numpy() for c in ("windows", "starts"))))
+                    continue
                 n = len(body) - length + 1
                 rows_.append(row)
                 firsts.append(first)
@@ -171,33 +206,24 @@ def repeated_windows(pieces: DataFrame, length: int, tasks: int) -> DataFrame:
                 if size >= BATCH:
                     settle()
         settle()
-        if not counts:
-            return
-        found = np.unique(family.finish())
-        base = np.concatenate([[0], np.cumsum(counts)])  # of each stretch's windows, in the numbering of owners
-        stretch = np.searchsorted(base, found, "right") - 1
-        start = np.array(firsts)[stretch] + found - base[stretch]
-        row = np.array(rows_)[stretch]
-        new = np.ones(len(found), bool)
-        new[1:] = (stretch[1:] != stretch[:-1]) | (start[1:] != start[:-1] + 1)
-        a = np.nonzero(new)[0]
-        b = np.append(a[1:], len(found)) - 1 if len(a) else a
-        yield pa.RecordBatch.from_arrays([pa.array(row[a], pa.int64()), pa.array(start[a], pa.int64()), pa.array(start[b] + length, pa.int64())], names=["row", "a", "b"])
-
-    return pieces.repartition(tasks, "key").mapInArrow(index, "row bigint, a bigint, b bigint")
-
-
-def repeated_windows_dealt(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys of very many stretches: each window is dealt by its own content."""
-
-    def split(cols):
-        for key, row, first, data in zip(cols["key"], cols["row"], cols["first"], cols["data"], strict=True):
-            h = window_hashes(data, length)
-            yield {"key": [key] * len(h), "window": h, "row": [row] * len(h), "start": np.arange(first, first + len(h))}
-
-    windows = map_rows(pieces.select("key", "row", "first", "data"), split, "key bigint, window bigint, row bigint, start bigint")
-    twice = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
-    return windows.join(twice, ["key", "window"], "left_semi").select("row", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+        if counts:
+            found = np.unique(family.finish())
+            base = np.concatenate([[0], np.cumsum(counts)])  # of each stretch's windows, in the numbering of owners
+            stretch = np.searchsorted(base, found, "right") - 1
+            start, row = np.array(firsts)[stretch] + found - base[stretch], np.array(rows_)[stretch]
+            order = np.lexsort((start, row))
+            if len(order):
+                yield from out(row[order], start[order])
+        if hashed:
+            row = np.repeat(np.array([r for r, _, _ in hashed]), [len(w) for _, w, _ in hashed])
+            start = np.concatenate([x for _, _, x in hashed])
+            _, group, n = np.unique(np.concatenate([w for _, w, _ in hashed]), return_inverse=True, return_counts=True)
+            again = np.nonzero(n[group] > 1)[0]
+            order = again[np.lexsort((start[again], row[again]))]
+            if len(order):
+                yield from out(row[order], start[order])
+
+    return pieces.repartition(tasks, "key", "part").mapInArrow(index, "row bigint, spans array<struct<a:bigint,b:bigint>>")
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -206,7 +232,7 @@ def merged(spans: DataFrame) -> DataFrame:
     def join(cols):
         yield {"row": cols["row"], "spans": [[{"a": a, "b": b} for a, b in union([(x["a"], x["b"]) for x in s])] for s in cols["spans"]]}
 
-    return map_rows(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans")), join, "row bigint, spans array<struct<a:bigint,b:bigint>>")
+    return map_rows(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), join, "row bigint, spans array<struct<a:bigint,b:bigint>>")
 
 
 class RepeatIndex:
@@ -266,14 +292,12 @@ class RepeatIndex:
         # of keys with several different stretches one copy of each
         entries = bodies if held is None else bodies.unionByName(held)
         several = entries.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y"), F.count("*").alias("contents")).filter("x <> y")
-        mixed = entries.join(several.select("key", (F.col("contents") > self.hot).alias("hot")), "key").select("key", "hot", "one.*").distinct()
+        deal = F.when(F.col("contents") > self.hot, F.ceil(F.col("contents") / PART)).otherwise(F.lit(0)).cast("long")
+        mixed = entries.join(several.select("key", deal.alias("deal")), "key").select("key", "deal", "one.*").distinct()
         mixed = scratch.write(mixed, "mixed")
-        total, most = mixed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
-        pieces = self._pieces(mixed)
+        total = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WINDOWS))
-        edges = repeated_windows(pieces.filter("NOT hot"), length, tasks)
-        if most:
-            edges = edges.union(repeated_windows_dealt(pieces.filter("hot"), length))
+        edges = repeated_windows(self._pieces(mixed), length, tasks)
         self.found.append(scratch.write(merged(edges), "edges"))
         scratch.drop(mixed, *([] if held is None else [held]))
         self._enter(bodies)
@@ -295,9 +319,9 @@ class RepeatIndex:
             self.scratch.drop(x, y)
 
     def _pieces(self, mixed: DataFrame) -> DataFrame:
-        """key, hot, row, first and bytes of stretches."""
+        """The stretches, as rows of PIECES."""
         length = self.length
-        cuts = mixed.groupBy("row").agg(F.collect_list(F.struct("key", "hot", "first", "n")).alias("cuts"))
+        cuts = mixed.groupBy("row").agg(F.collect_list(F.struct("key", "deal", "first", "n")).alias("cuts"))
 
         def take(cols):
             import zstandard
@@ -305,19 +329,17 @@ class RepeatIndex:
             z = zstandard.ZstdDecompressor()
             for body, cuts in zip(cols["body"], cols["cuts"], strict=True):
                 data = z.decompress(body)
-                yield {
-                    "key": [c["key"] for c in cuts], "hot": [c["hot"] for c in cuts], "row": [c["row"] for c in cuts], "first": [c["first"] for c in cuts],
-                    "data": [data[c["first"] : c["first"] + c["n"] - 1 + length] for c in cuts],
-                }
+                rows = [x for c in cuts for x in dealt(c["key"], c["deal"], c["row"], c["first"], data[c["first"] : c["first"] + c["n"] - 1 + length], length)]
+                yield dict(zip(("key", "part", "row", "first", "data", "windows", "starts"), zip(*rows, strict=True), strict=True))
 
         out = None
         for slim, who in zip(self.texts, self.who, strict=True):
             wanted = cuts.join(who, "row")
-            of_row = F.transform("cuts", lambda c: F.struct(F.col("row"), c["key"].alias("key"), c["hot"].alias("hot"), c["first"].alias("first"), c["n"].alias("n")))
+            of_row = F.transform("cuts", lambda c: F.struct(F.col("row"), c["key"].alias("key"), c["deal"].alias("deal"), c["first"].alias("first"), c["n"].alias("n")))
             wanted = wanted.groupBy(F.col("id").alias("id_"), F.col("digest").alias("digest_")).agg(F.flatten(F.collect_list(of_row)).alias("cuts"))
             same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_"))
             found = packed(slim).join(wanted, same).select("id", "digest", "body", "cuts").dropDuplicates(["id", "digest"])
-            found = map_rows(found, take, "key bigint, hot boolean, row bigint, first bigint, data binary")
+            found = map_rows(found, take, PIECES)
             out = found if out is None else out.unionByName(found)
         return out
 
@@ -382,7 +404,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
 
     Stretches are equal if the 64-bit hashes of their minimizer and of their bytes both are: two different ones of a
     key pass as equal about once in 2^64 pairs. Windows of ordinary keys are compared byte by byte, those of keys with
-    more than ``hot`` different stretches by such hashes.
+    more than ``hot`` different stretches by such hashes; it changes no result.
     """
     index = RepeatIndex(docs.sparkSession, length, id_col, text_col, hot)
     index.add(docs)

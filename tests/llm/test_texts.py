@@ -229,7 +229,7 @@ def brute_repeats(texts, length):
         yield len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()
 
 
-def test_repeats_against_brute_force(spark):
+def test_repeats_against_brute_force(spark, monkeypatch):
     r = random.Random(5)
     base = ["".join(r.choice("abc ") for _ in range(r.randint(20, 300))) for _ in range(6)]
     texts = [None, "", *("".join(r.choice(base)[r.randint(0, 30) : r.randint(40, 300)] + r.choice(["é", "\x00", "x "]) for _ in range(r.randint(1, 5))) for _ in range(30)), "a" * 700, "ab" * 300]
@@ -238,6 +238,7 @@ def test_repeats_against_brute_force(spark):
     got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(d, length=60).collect())
     assert got == sorted((str(i or None), *w) for i, w in enumerate(brute_repeats([(t or "").encode() for t in texts], 60)))
     assert repeats.remove_repeats(d.limit(0)).count() == 0
+    monkeypatch.setattr(repeats, "PART", 1)
     dealt = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.remove_repeats(d, length=60, hot=1).collect())
     assert dealt == got
 
