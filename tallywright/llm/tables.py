@@ -39,8 +39,8 @@ def keep_rows(df: DataFrame, column: str, wanted) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` gets each Arrow batch as a dict of lists and yields dicts of lists for ``schema``."""
+def map_rows(df: DataFrame, fn, schema: str, most: int = 2048) -> DataFrame:
+    """``fn`` gets at most so many rows of an Arrow batch as a dict of lists and yields dicts of lists for ``schema``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -48,8 +48,7 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            for cols in fn(batch.to_pydict()):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+        for cols in (c for batch in batches for first in range(0, batch.num_rows, most) for c in fn(batch.slice(first, most).to_pydict())):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
