@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(values: list[bytes], most: int = 1 << 20):
+def runs(values: list[bytes], most: int = 1 << 18):
     """(first, end) ranges whose bytes together stay near ``most``; a longer value stands alone."""
     first, size = 0, 0
     for i, v in enumerate(values):

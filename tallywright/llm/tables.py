@@ -39,7 +39,7 @@ def keep_rows(df: DataFrame, column: str, wanted) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
-def map_rows(df: DataFrame, fn, schema: str, most: int = 2048) -> DataFrame:
+def map_rows(df: DataFrame, fn, schema: str, most: int = 1024) -> DataFrame:
     """``fn`` gets at most so many rows of an Arrow batch as a dict of lists and yields dicts of lists for ``schema``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema

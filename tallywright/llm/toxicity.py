@@ -41,7 +41,7 @@ class Settings:
 
 #: Bytes of text that one pass of the tokenizer takes. A longer text is cut between windows, which stay those of the
 #: whole text; only a run of letters that is longer itself counts as several words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 STRETCHES = 8
 _LETTER = np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
