@@ -8,9 +8,11 @@ only adds candidates), then goes by hash.
 Documents with equal prefix and size are one group, and only groups are joined. A component needs a spanning
 set of links, not all of them. A first pass verifies a number of pairs linear in the entries: within every
 shared token each group with its neighbour by size and with the token's hub, the group that has it earliest in
-its prefix (of near copies the one with the fewest changes), and the members of a group with its first one. What
-that links is one component. Then every remaining pair of groups in different components that shares a token,
-and passes the size and position filters, is expanded to its members and verified. Pairs within a component
+its prefix (of near copies the one with the fewest changes), and the members of a group with its first one and
+with the first that has the same token after the prefix. What that links is one component. Then every remaining
+pair of groups in different components that shares a token, and passes the size and position filters, is expanded
+to its members and verified. Members of one group in different components share its prefix, whatever else they
+hold: they meet by the next |x| - o + 1 tokens, o the overlap that two sets of this size need. Pairs within a component
 need no further look, so a group of copies costs its size and not its square, and no link between two
 components is missed.
 
@@ -58,9 +60,12 @@ def frequent_tokens(docs: DataFrame, size: int, least: int = 6) -> tuple[np.ndar
     return tokens[order], counts[order]
 
 
-def prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first |x| - ceil(t|x|) + 1 tokens, rare ones first, and their counts where those are known, else 0."""
-    keep = len(tokens) + num * len(tokens) // -den + 1
+def prefix_size(n: int, num: int, den: int) -> int:
+    return n + num * n // -den + 1
+
+
+def ordered(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens, rare ones first, and their counts where those are known, else 0."""
     known, counts = frequent
     weight = np.zeros(len(tokens), np.int64)
     if len(known) and len(tokens):
@@ -69,7 +74,7 @@ def prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int
         if weight.any():
             order = np.lexsort((tokens, weight))
             tokens, weight = tokens[order], weight[order]
-    return tokens[:keep], weight[:keep]
+    return tokens, weight
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -141,22 +146,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def sets(cols):
         frequent = sent.value
         for s in range(0, len(cols["id"]), 1024):
-            out = {"id": cols["id"][s : s + 1024], "n": [], "digest": [], "head": [], "prefix": [], "parts": []}
+            out = {"id": cols["id"][s : s + 1024], "n": [], "digest": [], "head": [], "next": [], "prefix": [], "parts": []}
             for w in word_hashes(encoded(cols["text"][s : s + 1024])):
                 x = shingles(w, size)
-                p, weight = prefix(x, frequent, num, den)
+                keep = prefix_size(len(x), num, den)
+                tokens, weight = ordered(x, frequent)
+                p, weight = tokens[:keep], weight[:keep]
                 out["n"].append(len(x))
                 out["digest"].append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
                 out["head"].append(hashlib.blake2b(p.tobytes() + len(x).to_bytes(8, "little"), digest_size=16).hexdigest())
+                out["next"].append(int(tokens[keep].view(np.int64)) if keep < len(x) else None)
                 out["prefix"].append(p.view(np.int64))
                 out["parts"].append(weight // hot + 1 if weight.max(initial=0) >= hot else None)
             yield out
 
-    rows = map_rows(slim, sets, "id bigint, n bigint, digest string, head string, prefix array<bigint>, parts array<bigint>")
+    rows = map_rows(slim, sets, "id bigint, n bigint, digest string, head string, next bigint, prefix array<bigint>, parts array<bigint>")
     rows = scratch.write(rows, "rows")
     some = rows.filter("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("digest", "head").agg(F.min("id").alias("rep"))
-    classes = classes.join(some.groupBy("head").agg(F.min("id").alias("gid")), "head").select("digest", "rep", "gid")
+    classes = some.groupBy("digest", "head").agg(F.min("id").alias("rep"), F.any_value("next").alias("next"))
+    classes = classes.join(some.groupBy("head").agg(F.min("id").alias("gid")), "head").select("digest", "rep", "gid", "next")
     classes = scratch.write(classes, "classes")
     groups = some.groupBy("head").agg(F.min("id").alias("gid"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts"))
     tokens = groups.select("gid", "n", "head", "parts", F.posexplode("prefix").alias("pos", "token"))
@@ -188,8 +196,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = scratch.write(shared, "shared")
     leads = shared.filter("lead").withColumn("hub", F.min(F.struct("pos", "gid", "n")).over(Window.partitionBy("token")))  # one row a part
     leads = leads.filter((F.col("hub.gid") != F.col("gid")) & near(size_and_place(""), size_and_place("hub."))).select("gid", F.col("hub.gid").alias("other"))
-    in_group = classes.filter("rep <> gid").select("gid", F.col("rep").alias("other"))
-    first = shared.select("gid", F.explode("others").alias("other")).union(leads).union(in_group)
+    inner = classes.filter("rep <> gid")
+    in_group = inner.select("gid", F.col("rep").alias("other"))
+    alike = inner.join(inner.groupBy("gid", "next").agg(F.min("rep").alias("low")), ["gid", "next"]).filter("rep <> low").select("low", F.col("rep").alias("other"))
+    first = shared.select("gid", F.explode("others").alias("other")).union(leads).union(in_group).union(alike)
     first = scratch.write(first.select(F.least("other", "gid").alias("a"), F.greatest("other", "gid").alias("b")).distinct(), "pairs")
 
     def ends(pairs):
@@ -213,9 +223,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entries = scratch.write(shared.select("token", "gid", "n", "pos").join(placed.select("gid", "comp").distinct(), "gid"), "entries")
     x, y = (entries.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("gid", "comp", "n", "pos")]) for k in "xy")
     close = near(*((F.col(f"n_{k}"), F.col(f"pos_{k}")) for k in "xy"))
-    across = x.join(y, "token").filter((F.col("comp_x") < F.col("comp_y")) & close).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
+    across = x.join(y, "token").filter((F.col("comp_x") < F.col("comp_y")) & (F.col("gid_x") != F.col("gid_y")) & close).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
     mx, my = (placed.select(F.col("rep").alias(c), F.col("gid").alias(f"gid_{k}"), F.col("comp").alias(f"comp_{k}")) for c, k in (("p", "x"), ("q", "y")))
-    second = across.join(mx, ["gid_x", "comp_x"]).join(my, ["gid_y", "comp_y"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    second = across.join(mx, ["gid_x", "comp_x"]).join(my, ["gid_y", "comp_y"]).select("p", "q")
+
+    # members of one group in different components: all have its prefix, so the tokens after it tell
+    def tails(cols):
+        frequent, unpack = sent.value, zstandard.ZstdDecompressor().decompress
+        for s in range(0, len(cols["rep"]), 512):
+            out = {c: cols[c][s : s + 512] for c in ("rep", "gid", "comp")} | {"token": []}
+            for w in word_hashes([unpack(t) for t in cols["body"][s : s + 512]]):
+                tokens = ordered(shingles(w, size), frequent)[0]
+                n, keep = len(tokens), prefix_size(len(tokens), num, den)
+                overlap = -(-2 * num * n // (num + den))
+                out["token"].append(tokens[keep : keep + n - overlap + 1].view(np.int64))
+            yield out
+
+    split = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("gid")
+    split = scratch.write(placed.join(split, "gid"), "split")
+    bodies = sieved(texts, split.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    tail = map_rows(split.join(bodies, "rep").select("rep", "gid", "comp", "body"), tails, "rep bigint, gid bigint, comp bigint, token array<bigint>")
+    tail = scratch.write(tail.withColumn("token", F.explode("token")), "tails")
+    x, y = (tail.select("gid", "token", F.col("comp").alias(f"comp_{k}"), F.col("rep").alias(k)) for k in "pq")
+    inside = x.join(y, ["gid", "token"]).filter("comp_p < comp_q").select("p", "q")
+    second = second.union(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     second = scratch.write(second.join(first, ["a", "b"], "left_anti"), "pairs")
     of_second = ends(second)
     late, more_texts = texts_of(scratch.write(of_second.join(of_first, "id", "left_anti"), "ends"))

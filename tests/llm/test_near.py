@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tallywright.llm import embedding_links, shingle_join
+from tallywright.llm.shingles import shingles, word_hashes
 from tallywright.operators.graph import components
 from tallywright.operators.scratch import Scratch
 
@@ -72,6 +73,31 @@ def test_shingle_join_against_all_pairs(spark, hot):
     assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i, c in enumerate(want) if i == c)
 
 
+def test_members_of_a_group_that_its_first_one_does_not_link(spark):
+    """Nine shingles, of which the two of the prefix are equal: 2 and 3 link, as do 4 and 5, none of them with 1 or across."""
+    r = random.Random(5)
+    new = lambda n: " ".join(f"x{r.randrange(1 << 30)}" for _ in range(n))
+    of = lambda text: shingles(word_hashes([text.encode()])[0])
+    while True:
+        start = new(6)
+        low = of(start)
+        if low.max() < 1 << 61:  # likely the least two of nine
+            break
+
+    def grown(text, n):
+        while True:
+            found = f"{text} {new(n)}"
+            if (of(found)[:2] == low).all():
+                return found
+
+    texts = [grown(start, 7)]
+    for _ in range(2):
+        base = grown(start, 6)
+        texts += [grown(base, 1), grown(base, 1)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in shingle_join.near_duplicates(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")).collect()}
+    assert got == {1: (9, 1), 2: (9, 2), 3: (9, 2), 4: (9, 4), 5: (9, 4)}
+
+
 def test_shingle_join_edges(spark):
     assert shingle_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "x" * 300_000)], "doc_id long, text string")
